@@ -50,7 +50,7 @@ def _text(v: Column, name: str) -> Column:
 def whole_json(raw: Column) -> Column:
     """The parsed payload, or null where it isn't exactly one JSON value (text behind the value included)."""
     exact = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), raw, F.lit("}"))).isNotNull()
-    return F.when(exact & ~raw.startswith("﻿"), F.try_parse_json(raw))
+    return F.when(exact & ~raw.startswith("\ufeff"), F.try_parse_json(raw))
 
 
 def utc_time(text: Column) -> Column:
