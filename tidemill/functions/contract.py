@@ -48,56 +48,67 @@ def _text(v: Column, name: str) -> Column:
 
 
 def whole_json(raw: Column) -> Column:
-    """The parsed payload, or null where it isn't exactly one JSON value (text behind the value included)."""
-    exact = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), raw, F.lit("}"))).isNotNull()
-    return F.when(exact & ~raw.startswith("\ufeff"), F.try_parse_json(raw))
+    """The parsed payload, or null where it isn't exactly one JSON value (text behind the value included).
+
+    The parser stops behind the first value, so a stray text would pass; inside either wrapper it doesn't.
+    """
+    boxed = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), raw, F.lit("}")))
+    return F.when(boxed.isNotNull() & ~raw.startswith("\ufeff"), F.try_variant_get(named, "$.v", "variant"))
 
 
-def utc_time(text: Column) -> Column:
-    """An ISO time with zone as UTC (timestamp without zone), else null. Digits beyond microseconds are cut."""
-    part = lambda n: F.regexp_extract(text, _TIME, n)
+def _utc_time(parts: Column, text: Column) -> Column:
+    """The time whose parts are [date, hours and minutes, seconds, fraction, zone], as UTC without zone."""
     local = F.concat(
-        part(1), F.lit(" "), part(2), F.when(part(3) == "", ":00").otherwise(part(3)), F.when(part(4) == "", "").otherwise(F.concat(F.lit("."), F.substring(part(4), 1, 6)))
+        parts[0],
+        F.lit(" "),
+        parts[1],
+        F.when(parts[2] == "", ":00").otherwise(parts[2]),
+        F.when(parts[3] == "", "").otherwise(F.concat(F.lit("."), F.substring(parts[3], 1, 6))),
     )
-    zone = F.regexp_replace(part(5), ":", "")
+    zone = F.translate(parts[4], ":", "")
     minutes = F.when(zone == "Z", 0).otherwise(
         (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int")) * F.when(zone.startswith("-"), -1).otherwise(1)
     )
-    wall = local.try_cast("timestamp_ntz")
-    sound = text.rlike(_TIME) & ~F.substring(text, 1, 4).eqNullSafe("0000")
-    return F.when(sound, wall - F.make_dt_interval(mins=minutes))
+    return F.when(text.rlike(_TIME) & ~parts[0].startswith("0000"), local.try_cast("timestamp_ntz") - F.make_dt_interval(mins=minutes))
+
 
+def _time_parts(text: Column) -> Column:
+    """One match instead of five: the groups are joined by a character that can't occur in them, then split."""
+    return F.split(F.when(text.rlike(_TIME), F.regexp_replace(text, _TIME, "$1|$2|$3|$4|$5")), "[|]")
 
-def price_text(v: Column) -> Column:
-    """A price as decimal text: trimmed, no underscores, no plus, no needless zeros before the point; null if absent or bad."""
-    given = F.regexp_replace(F.regexp_replace(_text(v, "price"), "_", ""), r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+\z", "")
+
+def _tidy_price(text: Column) -> Column:
+    """A price text trimmed, without underscores, plus and needless zeros before the point."""
+    given = F.regexp_replace(F.translate(text, "_", ""), r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+\z", "")
     # full-width digits are decimal digits too
     ascii_ = F.upper(F.translate(given, "０１２３４５６７８９", "0123456789"))
     tidy = F.regexp_replace(F.regexp_replace(F.regexp_replace(ascii_, r"^\+", ""), r"^(-?)0+(?=\d)", "$1"), r"^(-?)\.", "$10.")
-    tidy = F.regexp_replace(F.regexp_replace(tidy, r"\.(?=\z|E)", ""), r"E(?=\d)", "E+")
-    return F.when(_type(v, "price").isin("VOID") | ~F.coalesce(given.rlike(_NUMBER), F.lit(False)), F.lit(None)).otherwise(tidy)
+    return F.regexp_replace(F.regexp_replace(tidy, r"\.(?=\z|E)", ""), r"E(?=\d)", "E+")
+
 
+#: A price text that is tidy as it stands: the usual case takes no further expression.
+_PLAIN_PRICE = r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?\z"
 
-def reasons(raw: Column, v: Column) -> Column:
-    """All contract violations of a payload, as texts; empty if it is fine. ``v`` is whole_json(raw)."""
-    kind = {f: _type(v, f) for f in FIELDS}
-    text = {f: _text(v, f) for f in FIELDS}
+
+def _reasons(keys: Column, kind: dict[str, Column], text: dict[str, Column], number: Column, version: Column, time: Column, value: Column) -> Column:
+    """All contract violations of a JSON object, as texts; empty if it is fine."""
     event = text["event_type"]
     is_text = lambda f: kind[f] == "STRING"
     known = F.coalesce(is_text("event_type") & event.isin(*TOPIC_OF), F.lit(False))
-    number = F.try_variant_get(v, "$.quantity", "bigint")
     whole = kind["quantity"] == "BIGINT"
     price_kind = kind["price"]
     price_is_number = (price_kind == "BIGINT") | price_kind.startswith("DECIMAL") | price_kind.isin("DOUBLE", "FLOAT")
-    price_value = F.try_variant_get(v, "$.price", "double")
-    price_ok = F.when(price_kind == "VOID", True).when(is_text("price"), F.regexp_replace(text["price"], "_", "").rlike(_NUMBER)).when(
-        price_is_number, price_value.isNotNull() & ~F.isnan(price_value) & (F.abs(price_value) != float("inf"))
-    ).otherwise(False)
-    negative = F.when(is_text("price"), F.regexp_replace(text["price"], "_", "").rlike(_BELOW_ZERO)).when(price_is_number, price_value < 0).otherwise(False)
+    price = F.translate(text["price"], "_", "")
+    price_ok = (
+        F.when(price_kind == "VOID", True)
+        .when(is_text("price"), price.rlike(_PLAIN_PRICE) | price.rlike(_NUMBER))
+        .when(price_is_number, value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")))
+        .otherwise(False)
+    )
+    negative = F.when(is_text("price"), price.contains("-") & price.rlike(_BELOW_ZERO)).when(price_is_number, value < 0).otherwise(False)
     filled = lambda f: is_text(f) & text[f].rlike(_NOT_BLANK)
 
-    keys = F.json_object_keys(raw)
-
     def rule(bad: Column, why: str) -> Column:
         return F.when(F.coalesce(bad, F.lit(True)), F.lit(why))
 
@@ -105,36 +116,49 @@ def reasons(raw: Column, v: Column) -> Column:
         rule(F.size(F.array_except(keys, F.array(*map(F.lit, FIELDS)))) > 0, "payload: unknown field"),
         rule(~(is_text("event_id") & text["event_id"].rlike(UUID_SPELLINGS)), "event_id: not a UUID"),
         rule(~known, "event_type: not one of the known types"),
-        *(
-            rule(~kind[f].isin("STRING", "VOID"), f"{f}: not a text")
-            for f in ("customer_id", "product_id", "order_id", "country", "query")
-        ),
+        *(rule(~kind[f].isin("STRING", "VOID"), f"{f}: not a text") for f in ("customer_id", "product_id", "order_id", "country", "query")),
         rule(~((kind["quantity"] == "VOID") | (whole & number.between(_INT_MIN, _INT_MAX))), "quantity: not an integer of 32 bits"),
         rule(~price_ok, "price: not a finite decimal number"),
-        rule(~(is_text("event_timestamp") & utc_time(text["event_timestamp"]).isNotNull()), "event_timestamp: not an ISO time with a zone"),
-        rule(~((kind["schema_version"] == "BIGINT") & (F.try_variant_get(v, "$.schema_version", "bigint") == 1)), "schema_version: not the integer 1"),
+        rule(~(is_text("event_timestamp") & time.isNotNull()), "event_timestamp: not an ISO time with a zone"),
+        rule(~((kind["schema_version"] == "BIGINT") & (version == 1)), "schema_version: not the integer 1"),
         rule(known & event.isin(*NEEDS_PRODUCT) & ~filled("product_id"), "product_id: needed for this event type"),
         rule(known & event.isin(*NEEDS_QUANTITY) & ~F.coalesce(whole & (number > 0), F.lit(False)), "quantity: must be positive"),
         rule(price_ok & negative, "price: below zero"),
         rule(known & (event == "purchase") & ~filled("order_id"), "order_id: needed for a purchase"),
-        rule(known & (event == "purchase") & (kind["price"] == "VOID"), "price: needed for a purchase"),
+        rule(known & (event == "purchase") & (price_kind == "VOID"), "price: needed for a purchase"),
     ]
-    shape = F.when(v.isNull(), F.array(F.lit("payload: not one JSON value"))).when(keys.isNull(), F.array(F.lit("payload: not a JSON object")))
-    return F.coalesce(shape, F.array_compact(F.array(*found)))
+    return F.array_compact(F.array(*found))
 
 
 def parse_events(raw: DataFrame, payload: str = "raw_payload") -> DataFrame:
-    """All columns of ``raw`` and ``event``: a struct of the typed fields (null where they fail), error_type, error_message."""
+    """All columns of ``raw`` and ``event``: a struct of the typed fields (null where they fail), error_type, error_message.
+
+    Each step is a projection of its own, so that a value used by several rules is computed once per row.
+    """
     v = F.col("__v")
-    with_v = raw.withColumn("__v", whole_json(F.col(payload))).withColumn("__why", reasons(F.col(payload), v))
-    ok = F.size("__why") == 0
+    kind, text = {f: F.col(f"__k_{f}") for f in FIELDS}, {f: F.col(f"__t_{f}") for f in FIELDS}
+    step = raw.withColumns({"__v": whole_json(F.col(payload)), "__keys": F.json_object_keys(F.col(payload))})
+    step = step.withColumns({f"__k_{f}": _type(v, f) for f in FIELDS} | {f"__t_{f}": _text(v, f) for f in FIELDS})
+    step = step.withColumns(
+        {
+            "__number": F.try_variant_get(v, "$.quantity", "bigint"),
+            "__version": F.try_variant_get(v, "$.schema_version", "bigint"),
+            "__value": F.try_variant_get(v, "$.price", "double"),
+            "__parts": _time_parts(text["event_timestamp"]),
+        }
+    ).withColumn("__time", _utc_time(F.col("__parts"), text["event_timestamp"]))
+    shape = F.when(v.isNull(), F.array(F.lit("payload: not one JSON value"))).when(F.col("__keys").isNull(), F.array(F.lit("payload: not a JSON object")))
+    why = F.coalesce(shape, _reasons(F.col("__keys"), kind, text, F.col("__number"), F.col("__version"), F.col("__time"), F.col("__value")))
+    with_v = step.withColumn("__why", why).withColumn("__ok", F.size("__why") == 0)
+    ok = F.col("__ok")
+    price = F.when(text["price"].rlike(_PLAIN_PRICE), text["price"]).otherwise(_tidy_price(text["price"]))
     fields = {
-        "event_id": F.when(ok, canonical_uuid(_text(v, "event_id"))).otherwise(F.when(_type(v, "event_id") == "STRING", _text(v, "event_id"))),
-        **{f: F.when(ok, _text(v, f)) for f in ("event_type", "customer_id", "product_id", "order_id")},
-        "quantity": F.when(ok, F.try_variant_get(v, "$.quantity", "int")),
-        "price": F.when(ok, price_text(v)),
-        **{f: F.when(ok, _text(v, f)) for f in ("country", "query")},
-        "event_timestamp": F.when(ok, utc_time(_text(v, "event_timestamp"))),
+        "event_id": F.when(ok, canonical_uuid(text["event_id"])).otherwise(F.when(kind["event_id"] == "STRING", text["event_id"])),
+        **{f: F.when(ok, text[f]) for f in ("event_type", "customer_id", "product_id", "order_id")},
+        "quantity": F.when(ok, F.col("__number").try_cast("int")),
+        "price": F.when(ok & (kind["price"] != "VOID"), price),
+        **{f: F.when(ok, text[f]) for f in ("country", "query")},
+        "event_timestamp": F.when(ok, F.col("__time")),
         "schema_version": F.when(ok, F.lit(1)),
         "error_type": F.when(~ok, F.lit(SCHEMA_VALIDATION)),
         "error_message": F.when(~ok, F.array_join("__why", "; ")),
