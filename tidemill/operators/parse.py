@@ -90,13 +90,13 @@ def classify_records(records: DataFrame, payload: str = "raw_payload", record_fo
         rec["UnitPrice"].try_cast("decimal(18,6)").alias("UnitPrice"),
         *(rec[c].alias(c) for c in ("CustomerID", "Country")),
     )
-    return read.select(
-        *(F.col(f"`{c}`") for c in kept),
+    verdict = F.struct(
         error.alias("error_type"),
         why.alias("error_message"),
         F.when(F.coalesce(kind == "csv", F.lit(False)) & csv_bad.isNull() & ~empty, loaded).alias("loaded_invoice"),
         F.when(F.coalesce(kind == "json", F.lit(False)) & json_bad.isNull() & ~empty, F.col("event").dropFields("error_type", "error_message")).alias("loaded_event"),
     )
+    return read.select(*(F.col(f"`{c}`") for c in kept), contract.computed_once(verdict).alias("__verdict")).select(*(F.col(f"`{c}`") for c in kept), "__verdict.*")
 
 
 def rejected(records: DataFrame, **names: str) -> DataFrame:
