@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from tidemill.functions import contract
 from tidemill.operators import dedup, history, quality
 from tidemill.plans import gold, kpi
 from tidemill.plans.problems_sql import _uuid
-from tidemill.session import shared_dir
+from tidemill.session import work_path
 from tidemill.sources.tables import load
 from tidemill.sources.versioned import VersionedTable
 
@@ -385,7 +383,7 @@ def _two_deliveries(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _table(spark) -> VersionedTable:
-    return VersionedTable(spark, f"{shared_dir(spark)}/tidemill/tables/{uuid.uuid4().hex}")
+    return VersionedTable(spark, work_path(spark, "tables"))
 
 
 @query(f"WITH {ORD}, {ITM} SELECT order_id FROM ord WHERE ingestion_timestamp >= TIMESTAMP '{SECOND}' UNION SELECT order_id FROM itm WHERE ingestion_timestamp >= TIMESTAMP '{SECOND}'")
@@ -559,3 +557,35 @@ def dq_alerts(spark, sf):
 @query(f"WITH {_RUNS} SELECT run_id, completed_at, records_read FROM runs ORDER BY completed_at DESC, run_id LIMIT 20")
 def latest_runs(spark, sf):
     return _runs(spark, sf).orderBy(F.col("completed_at").desc(), "run_id").limit(20).select("run_id", "completed_at", "records_read")
+
+
+def _stream(spark, sf, times: int = 1):
+    from tidemill.sources.stream import parquet_files
+    from tidemill.sources.tables import table_path
+    from tidemill.streaming import bronze_silver
+
+    root = work_path(spark, "streams")
+    house = bronze_silver.Lakehouse(spark, root)
+    for n in range(times):
+        source = parquet_files(spark, table_path(sf, "bronze_events"), files_per_trigger=64)
+        bronze_silver.run(source, house, f"{root}/checkpoints", namespace=f"pass-{n}")
+    return house
+
+
+@query()
+def stream_silver(spark, sf):
+    """Silver after streaming all raw messages through contract, quarantine and merge."""
+    return _stream(spark, sf).silver.read().select("event_id", "event_type", "customer_id", "product_id", "order_id", "quantity", "price", "country", "event_timestamp", "ingestion_timestamp")
+
+
+@query("SELECT topic, kafka_partition, kafka_offset FROM bronze_events")
+def stream_bronze_replayed(spark, sf):
+    """Bronze after the whole stream ran twice: every transport coordinate once."""
+    return _stream(spark, sf, times=2).bronze.read().select("topic", "kafka_partition", "kafka_offset")
+
+
+@query()
+def stream_audit(spark, sf):
+    """The audit of a run and of its replay: the replay writes nothing and counts accepted rows as duplicates."""
+    audit = _stream(spark, sf, times=2).audit.read()
+    return audit.select("checkpoint_namespace", "batch_id", "records_read", "records_written", "records_rejected", "records_late", "records_duplicate")

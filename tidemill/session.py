@@ -62,6 +62,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def _own(path: str) -> str:
+    """On a local file system, what this process wrote goes when it ends. Elsewhere the folder's owner cleans it."""
+    local = path.removeprefix("file://")
+    if local.startswith("/"):
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+    return path
+
+
+def work_path(spark: SparkSession, kind: str) -> str:
+    """A new folder name in the shared folder."""
+    return _own(f"{shared_dir(spark)}/tidemill/{kind}/{uuid.uuid4().hex}")
+
+
 def materialize(frame: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows as a table in the shared folder and read it back.
 
@@ -69,7 +82,7 @@ def materialize(frame: DataFrame) -> DataFrame:
     monotonically_increasing_id stay what they were.
     """
     spark = frame.sparkSession
-    path = f"{shared_dir(spark)}/tidemill/{uuid.uuid4().hex}"
+    path = _own(f"{shared_dir(spark)}/tidemill/{uuid.uuid4().hex}")
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 

@@ -41,5 +41,7 @@ def kafka(spark: SparkSession, servers: str, topics: Sequence[str], run_id: str
 
 
 def parquet_files(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """New Parquet files of raw messages as a stream, under an explicit schema."""
-    return spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """New Parquet files of raw messages as a stream, under an explicit schema. ``path`` is a folder or a single file."""
+    # as a pattern, a single file is accepted too
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_per_trigger).parquet(pattern)
