@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemill.session import materialize, prepare, stored_bytes
 
-_HELPERS = ("__file", "__row", "__bucket", "__bit", "__deleted")
+_HELPERS = ("__file", "__row", "__bucket", "__bit", "__bits")
 #: Bytes of a bitmap of 32,768 rows in memory, with its keys.
 _BITMAP_BYTES = 4160
 
@@ -51,12 +51,12 @@ def repeated(narrow: DataFrame) -> DataFrame:
 
 
 def deletion_vectors(narrow: DataFrame) -> DataFrame:
-    """Bitmaps of the rows to leave out: __file, __bucket (of 32,768 rows), bits. Built by combining on the map side."""
+    """Bitmaps of the rows to leave out: __file, __bucket (of 32,768 rows), __bits. Built by combining on the map side."""
     many = deliveries(narrow).where(F.col("n") >= 2).select("message", F.col("winner.f").alias("wf"), F.col("winner.r").alias("wr"))
     losers = narrow.join(many, "message").where(~((F.col("__file") == F.col("wf")) & (F.col("__row") == F.col("wr"))))
     spot = F.col("__row") + 1
     return losers.groupBy("__file", F.bitmap_bucket_number(spot).alias("__bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits")
+        F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("__bits")
     )
 
 
@@ -80,13 +80,14 @@ def keep_first(
         raise ValueError(f"columns {clash} clash with helper columns")
     vectors = materialize(deletion_vectors(positions(source, identifier(source), order)))
     n = vectors.count()
-    parts = max(1, -(-n * _BITMAP_BYTES // most_broadcast_bytes))
+    parts = max(1, min(n, -(-n * _BITMAP_BYTES // most_broadcast_bytes)))
     if parts == 1:
         return _without(source, vectors)
     out = None
     for group in range(parts):
-        mine = F.pmod(F.xxhash64("_metadata.file_path") + F.xxhash64(F.floor(F.col("_metadata.row_index") / 32768)), F.lit(parts)) == group
-        vector_group = F.pmod(F.col("__file") + F.xxhash64(F.col("__bucket") - 1), F.lit(parts)) == group
+        # by file: the scan of a group opens its own files only
+        mine = F.pmod(F.xxhash64("_metadata.file_path"), F.lit(parts)) == group
+        vector_group = F.pmod(F.col("__file"), F.lit(parts)) == group
         kept = _without(source.where(mine), vectors.where(vector_group))
         out = kept if out is None else out.unionAll(kept)
     return out
@@ -101,7 +102,7 @@ def _without(source: DataFrame, vectors: DataFrame) -> DataFrame:
         F.bitmap_bit_position(spot + 1).alias("__bit"),
     )
     joined = placed.join(F.broadcast(vectors), ["__file", "__bucket"], "left")
-    return joined.where(F.col("bits").isNull() | ~bit_is_set(F.col("bits"), F.col("__bit"))).select(*(F.col(f"`{c}`") for c in source.columns))
+    return joined.where(F.col("__bits").isNull() | ~bit_is_set(F.col("__bits"), F.col("__bit"))).select(*(F.col(f"`{c}`") for c in source.columns))
 
 
 def vector_bytes(vectors: DataFrame) -> int:

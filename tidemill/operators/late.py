@@ -40,14 +40,14 @@ def first_arrivals(
     Repeats are combined before the shuffle, so a message that was sent a million times costs its own task one row.
     Rows whose key is null are no messages.
     """
-    first = F.min(F.struct(F.col(arrival).alias("a"), F.col(event).alias("e"), *(F.col(c) for c in carry)))
+    first = F.min(F.struct(F.col(arrival).alias("__arrived"), F.col(event).alias("__happened"), *(F.col(c) for c in carry)))
     # a null arrival sorts first in a struct; it must not win over a known one
     known = F.coalesce(
-        F.min(F.when(F.col(arrival).isNotNull(), F.struct(F.col(arrival).alias("a"), F.col(event).alias("e"), *(F.col(c) for c in carry)))),
+        F.min(F.when(F.col(arrival).isNotNull(), F.struct(F.col(arrival).alias("__arrived"), F.col(event).alias("__happened"), *(F.col(c) for c in carry)))),
         first,
     )
     got = events.where(key.isNotNull()).groupBy(key.alias("message")).agg(known.alias("f"))
-    out = got.select("message", F.col("f.e").alias("event_time"), F.col("f.a").alias("arrival_time"), *(F.col(f"f.{c}") for c in carry))
+    out = got.select("message", F.col("f.__happened").alias("event_time"), F.col("f.__arrived").alias("arrival_time"), *(F.col(f"f.{c}") for c in carry))
     return out.withColumn("status", lateness(F.col("event_time"), F.col("arrival_time"), grace, cutoff))
 
 

@@ -6,9 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-RAW = T.StructType.fromDDL(
+RAW = (
     "raw_payload string, topic string, kafka_partition int, kafka_offset long, kafka_timestamp timestamp_ntz, ingestion_timestamp timestamp_ntz, scenario string, stream_run_id string"
 )
 
