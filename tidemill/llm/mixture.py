@@ -117,7 +117,7 @@ def mix(documents: DataFrame, targets: DataFrame, sized: DataFrame | None = None
         none = spark.createDataFrame([], "slot long, source string, doc_id long, use int, n_tokens long, offset long")
         return Mixture(none, shares, 0, block_tokens)
     largest = min(s.tokens * s.cap / s.weight for s in live)
-    slots = max(1, int(min(largest, total_tokens or largest) // block_tokens))
+    slots = max(1, int(-(-min(largest, total_tokens or largest) // block_tokens)))
     placed = blocks(sized, shares, slots, block_tokens, seed)
     plan_ = schedule(spark, slots, shares).select(F.col("source").alias("__s"), "slot", "nth")
     out = placed.join(plan_, (F.col("source") == F.col("__s")) & (F.col("block") == F.col("nth")))
