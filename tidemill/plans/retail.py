@@ -10,7 +10,7 @@ from tidemill.operators import dedup, history, quality
 from tidemill.plans import gold, kpi
 from tidemill.plans.problems_sql import _uuid
 from tidemill.session import work_path
-from tidemill.sources.tables import load
+from tidemill.sources.tables import load, spread
 from tidemill.sources.versioned import VersionedTable
 
 #: Reports that depend on the clock take it as a parameter.
@@ -507,7 +507,7 @@ def topic_routing_mismatch(spark, sf):
 @query()
 def contract_classify(spark, sf):
     """Every raw message with its verdict: contract, topic, lateness."""
-    made = contract.classify(load(spark, sf, "bronze_events"))
+    made = contract.classify(spread(load(spark, sf, "bronze_events")))
     return made.select("topic", "kafka_partition", "kafka_offset", "event_id", "event_type", "quantity", "price", "event_timestamp", "error_type", "error_message")
 
 
@@ -568,7 +568,7 @@ def _stream(spark, sf, times: int = 1):
     house = bronze_silver.Lakehouse(spark, root)
     for n in range(times):
         source = parquet_files(spark, table_path(sf, "bronze_events"), files_per_trigger=64)
-        bronze_silver.run(source, house, f"{root}/checkpoints", namespace=f"pass-{n}")
+        bronze_silver.run(source, house, f"{root}/checkpoints", namespace=f"pass-{n}", partitions=spark.sparkContext.defaultParallelism)
     return house
 
 

@@ -39,10 +39,15 @@ class Lakehouse:
         self.bronze, self.silver, self.quarantine, self.audit = at("bronze"), at("silver"), at("quarantine"), at("audit")
 
 
-def process_batch(house: Lakehouse, batch: DataFrame, batch_id: int, namespace: str, price_type: str | None = None, fail_after_silver: Callable[[int], None] | None = None) -> dict:
-    """One micro-batch. Counts: read = written + duplicate + rejected + late, on a first run as on a replay."""
+def process_batch(house: Lakehouse, batch: DataFrame, batch_id: int, namespace: str, price_type: str | None = None, fail_after_silver: Callable[[int], None] | None = None, partitions: int | None = None) -> dict:
+    """One micro-batch. Counts: read = written + duplicate + rejected + late, on a first run as on a replay.
+
+    ``partitions`` deals the batch out to more tasks than its source has, as a topic of few partitions needs.
+    """
     began = time.time()
     spark = batch.sparkSession
+    if partitions:
+        batch = batch.repartition(partitions)
     # the frame of a foreachBatch call belongs to this batch alone; written out, it is classified once
     classified = materialize(contract.classify(batch, price_type=price_type))
     late = F.col("error_type") == contract.LATE_EVENT
@@ -77,7 +82,7 @@ def process_batch(house: Lakehouse, batch: DataFrame, batch_id: int, namespace:
 
 def run(
     source: DataFrame, house: Lakehouse, checkpoint: str, namespace: str = "main", seconds: float | None = None, every: str | None = None, price_type: str | None = None,
-    fail_after_silver: Callable[[int], None] | None = None,
+    fail_after_silver: Callable[[int], None] | None = None, partitions: int | None = None,
 ) -> list[dict]:
     """Run a stream until its input is used up (or every ``every`` seconds until ``seconds`` are over).
 
@@ -85,7 +90,7 @@ def run(
     """
     prepare(source.sparkSession)
     writer = source.writeStream.option("checkpointLocation", f"{checkpoint}/{namespace}").foreachBatch(
-        lambda frame, batch_id: process_batch(house, frame, batch_id, namespace, price_type, fail_after_silver) and None
+        lambda frame, batch_id: process_batch(house, frame, batch_id, namespace, price_type, fail_after_silver, partitions) and None
     )
     query = (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
     ended = query.awaitTermination(seconds) if seconds else query.awaitTermination() or True
