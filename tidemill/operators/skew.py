@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 def heavy_keys(frame: DataFrame, key: str, share: float) -> DataFrame:
     """Keys with at least this share of all rows, nulls counted in the total: at most 1/share rows."""
     counts = frame.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total)).where(F.col("n") >= F.lit(Decimal(str(share))) * F.col("total")).select(F.col(key).alias("__heavy"))
+    total = counts.agg(F.sum("n").alias("total")).scalar()
+    return counts.where(F.col("n") >= F.lit(Decimal(str(share))) * total).select(F.col(key).alias("__heavy"))
 
 
 def salted_aggregate(
@@ -78,7 +78,7 @@ def salted_aggregate(
 
 
 def heavy_report(frame: DataFrame, key: str, share: float, spread: Sequence[str] = (), salts: int = 64) -> DataFrame:
-    """Non-null keys with at least ``share`` of all rows: key, n, total; counted by the salted aggregation."""
+    """Non-null keys with at least ``share`` of all rows: key, n; counted by the salted aggregation."""
     counted = salted_aggregate(frame, key, spread=spread, share=share, salts=salts)
-    total = counted.agg(F.sum("n").alias("total"))
-    return counted.join(F.broadcast(total)).where(F.col(key).isNotNull() & (F.col("n") >= F.lit(Decimal(str(share))) * F.col("total")))
+    total = counted.agg(F.sum("n").alias("total")).scalar()
+    return counted.where(F.col(key).isNotNull() & (F.col("n") >= F.lit(Decimal(str(share))) * total))
