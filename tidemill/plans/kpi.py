@@ -100,12 +100,9 @@ def alerts(rates: DataFrame, key: str = "run_id") -> DataFrame:
 
 
 def reconcile(pairs: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
-    """One row with one exact total per name, each from one aggregate of its own table."""
-    out = None
-    for name, (frame, value) in pairs.items():
-        one = frame.agg(value.alias(name))
-        out = one if out is None else out.crossJoin(one)
-    return out
+    """One row with one exact total per name, each a scalar subquery over its own table."""
+    spark = next(iter(pairs.values()))[0].sparkSession
+    return spark.range(1).select(*(frame.agg(value.alias(name)).scalar().alias(name) for name, (frame, value) in pairs.items()))
 
 
 def column_tests(frame: DataFrame, not_null: Sequence[str] = (), unique: Sequence[str] = (), accepted: dict[str, Sequence] | None = None, positive: Sequence[str] = ()) -> DataFrame:
