@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import contract
 from tidemill.operators import dedup, history, quality
-from tidemill.plans import gold, kpi
+from tidemill.plans import contract_sql, gold, kpi
 from tidemill.plans.problems_sql import _uuid
 from tidemill.session import work_path
 from tidemill.sources.tables import load, spread
@@ -504,6 +504,13 @@ def topic_routing_mismatch(spark, sf):
     return e.where(~F.col("source_topic").eqNullSafe(contract.expected_topic(F.col("event_type")))).groupBy("event_type", "source_topic").agg(F.count(F.lit(1)).alias("events"))
 
 
+@query(contract_sql.ORACLE["contract_verdicts"])
+def contract_verdicts(spark, sf):
+    """The verdict of every raw message, and its time in UTC."""
+    made = contract.classify(spread(load(spark, sf, "bronze_events")))
+    return made.select("topic", "kafka_partition", "kafka_offset", "error_type", "event_timestamp")
+
+
 @query()
 def contract_classify(spark, sf):
     """Every raw message with its verdict: contract, topic, lateness."""
@@ -584,8 +591,13 @@ def stream_bronze_replayed(spark, sf):
     return _stream(spark, sf, times=2).bronze.read().select("topic", "kafka_partition", "kafka_offset")
 
 
-@query()
-def stream_audit(spark, sf):
+@query(contract_sql.ORACLE["stream_silver_ids"])
+def stream_silver_ids(spark, sf):
+    return _stream(spark, sf).silver.read().select("event_id")
+
+
+@query(contract_sql.ORACLE["stream_audit_totals"])
+def stream_audit_totals(spark, sf):
     """The audit of a run and of its replay: the replay writes nothing and counts accepted rows as duplicates."""
     audit = _stream(spark, sf, times=2).audit.read()
-    return audit.select("checkpoint_namespace", "batch_id", "records_read", "records_written", "records_rejected", "records_late", "records_duplicate")
+    return audit.groupBy("checkpoint_namespace").agg(*(F.sum(c).alias(c) for c in ("records_read", "records_written", "records_rejected", "records_late", "records_duplicate")))

@@ -76,7 +76,11 @@ def process_batch(house: Lakehouse, batch: DataFrame, batch_id: int, namespace:
     }
     values = (namespace, batch_id, row["read"], row["written"], row["rejected"], row["late"], row["duplicate"], time.time() - began, counts["average"], counts["most"])
     audit = spark.createDataFrame([values], AUDIT.rsplit(",", 1)[0]).withColumn("completed_at", F.current_timestamp())
-    house.audit.merge_current(audit, ["checkpoint_namespace", "batch_id"])
+    mine = (F.col("checkpoint_namespace") == namespace) & (F.col("batch_id") == batch_id)
+    if house.audit.exists() and house.audit.read().where(mine).limit(1).count():
+        house.audit.merge_current(audit, ["checkpoint_namespace", "batch_id"])
+    else:
+        house.audit.append(audit)
     return row
 
 
