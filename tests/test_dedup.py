@@ -49,9 +49,10 @@ def test_more_rows_than_one_bitmap(spark, tmp_path):
 
 
 def test_empty_and_clash(spark, tmp_path):
-    spark.createDataFrame([], "id string, __row int").write.parquet(str(tmp_path / "e"))
-    with pytest.raises(ValueError):
-        dedup.keep_first(spark, str(tmp_path / "e"), lambda f: f["id"])
+    rows = [("a", 1, 1), ("a", 2, 2), ("b", 3, 3)]
+    spark.createDataFrame(rows, "id string, __file int, __f int").coalesce(1).write.parquet(str(tmp_path / "e"))
+    got = dedup.keep_first(spark, str(tmp_path / "e"), lambda f: f["id"], ("__file",))
+    assert got.columns == ["id", "__file", "__f"] and sorted(map(tuple, got.collect())) == [("a", 1, 1), ("b", 3, 3)]
     spark.createDataFrame([], "id string, x int").write.parquet(str(tmp_path / "f"))
     assert dedup.keep_first(spark, str(tmp_path / "f"), lambda f: f["id"]).count() == 0
 

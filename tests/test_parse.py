@@ -44,3 +44,10 @@ def test_json_and_formats(spark):
 def test_every_row_is_on_one_side(spark):
     frame = spark.createDataFrame([(1, "csv", OK), (2, "csv", "a"), (3, None, None)], "record_id long, record_format string, raw_payload string")
     assert parse.rejected(frame).count() == 2 and parse.loaded(frame).count() == 1 and parse.rejected(frame.limit(0)).count() == 0
+
+
+def test_clashing_columns(spark):
+    names = ("event", "__v", "__rec", "__json", "__raw", "__row", "__k_price", "__why_csv", "loaded_event", "__kind", "__record")
+    frame = spark.createDataFrame([(1, "csv", OK, *range(len(names))), (2, "json", raw(), *range(len(names)))], "record_id long, record_format string, raw_payload string, " + ", ".join(f"{n} int" for n in names))
+    got = parse.classify_records(frame).orderBy("record_id").collect()
+    assert [r.error_type for r in got] == [None, None] and got[0]["event"] == 0 and got[1]["__record"] == 10 and got[1].loaded_event.quantity == 2

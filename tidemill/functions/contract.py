@@ -137,13 +137,15 @@ def _reasons(keys: Column, kind: dict[str, Column], text: dict[str, Column], num
 
 
 def parse_events(raw: DataFrame, payload: str = "raw_payload") -> DataFrame:
-    """All columns of ``raw`` and ``event``: a struct of the typed fields (null where they fail), error_type, error_message.
+    """All columns of ``raw`` (but one named event) and ``event``: a struct of the typed fields (null where they fail), error_type, error_message.
 
     Each step is a projection of its own, so that a value used by several rules is computed once per row.
     """
     v = F.col("__v")
     kind, text = {f: F.col(f"__k_{f}") for f in FIELDS}, {f: F.col(f"__t_{f}") for f in FIELDS}
-    step = raw.withColumns({"__v": whole_json(F.col(payload)), "__keys": F.json_object_keys(F.col(payload))})
+    # source columns travel as one struct, so that none can clash with a helper
+    packed = raw.select(F.struct(*(F.col(f"`{c}`") for c in raw.columns)).alias("__row"), F.col(f"`{payload}`").alias("__raw"))
+    step = packed.withColumns({"__v": whole_json(F.col("__raw")), "__keys": F.json_object_keys(F.col("__raw"))})
     step = step.withColumns({f"__k_{f}": _type(v, f) for f in FIELDS} | {f"__t_{f}": _text(v, f) for f in FIELDS})
     step = step.withColumns(
         {
@@ -169,7 +171,8 @@ def parse_events(raw: DataFrame, payload: str = "raw_payload") -> DataFrame:
         "error_type": F.when(~ok, F.lit(SCHEMA_VALIDATION)),
         "error_message": F.when(~ok, F.array_join("__why", "; ")),
     }
-    return with_v.select(*(F.col(f"`{c}`") for c in raw.columns), computed_once(F.struct(*(c.alias(n) for n, c in fields.items()))).alias("event"))
+    once = with_v.select("__row", computed_once(F.struct(*(c.alias(n) for n, c in fields.items()))).alias("__event"))
+    return once.select(*(F.col(f"__row.`{c}`").alias(c) for c in raw.columns if c != "event"), F.col("__event").alias("event"))
 
 
 def expected_topic(event_type: Column) -> Column:

@@ -8,8 +8,8 @@ The vectors are broadcast in groups of files, each under a checked size, so no w
 vectors there are; with few of them there is one group.
 
 Defined results: the first delivery wins (smallest order columns, nulls last; then file and row number); a row without
-a readable identifier is kept, since it can't be told to be a copy; an empty table gives no rows; columns named like
-the helper columns are kept, as the helpers carry a double underscore and are checked for clashes.
+a readable identifier is kept, since it can't be told to be a copy; an empty table gives no rows; helper columns get a prefix that no column
+of the table has.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from tidemill.session import materialize, prepare, stored_bytes
 
-_HELPERS = ("__file", "__row", "__bucket", "__bit", "__bits")
 #: Bytes of a bitmap of 32,768 rows in memory, with its keys.
 _BITMAP_BYTES = 4160
 
@@ -76,8 +75,6 @@ def keep_first(
     """All columns of a Parquet table with one row per message."""
     paths = [path] if isinstance(path, str) else list(path)
     source = prepare(spark).read.parquet(*paths)
-    if clash := [c for c in source.columns if c in _HELPERS]:
-        raise ValueError(f"columns {clash} clash with helper columns")
     vectors = materialize(deletion_vectors(positions(source, identifier(source), order)))
     n = vectors.count()
     parts = max(1, min(n, -(-n * _BITMAP_BYTES // most_broadcast_bytes)))
@@ -94,15 +91,20 @@ def keep_first(
 
 
 def _without(source: DataFrame, vectors: DataFrame) -> DataFrame:
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in source.columns):
+        prefix += "_"
+    file, bucket, bit, bits = (prefix + n for n in ("f", "k", "b", "v"))
     spot = F.col("_metadata.row_index")
     placed = source.select(
         "*",
-        F.xxhash64("_metadata.file_path").alias("__file"),
-        F.bitmap_bucket_number(spot + 1).alias("__bucket"),
-        F.bitmap_bit_position(spot + 1).alias("__bit"),
+        F.xxhash64("_metadata.file_path").alias(file),
+        F.bitmap_bucket_number(spot + 1).alias(bucket),
+        F.bitmap_bit_position(spot + 1).alias(bit),
     )
-    joined = placed.join(F.broadcast(vectors), ["__file", "__bucket"], "left")
-    return joined.where(F.col("__bits").isNull() | ~bit_is_set(F.col("__bits"), F.col("__bit"))).select(*(F.col(f"`{c}`") for c in source.columns))
+    marks = vectors.select(F.col("__file").alias(file), F.col("__bucket").alias(bucket), F.col("__bits").alias(bits))
+    joined = placed.join(F.broadcast(marks), [file, bucket], "left")
+    return joined.where(F.col(bits).isNull() | ~bit_is_set(F.col(bits), F.col(bit))).select(*(F.col(f"`{c}`") for c in source.columns))
 
 
 def vector_bytes(vectors: DataFrame) -> int:

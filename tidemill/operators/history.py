@@ -59,7 +59,7 @@ def running(frame: DataFrame, keys: Sequence[str], order: str, block: str, specs
 def ledger(updates: DataFrame, keys: Sequence[str], valid: str, recorded: str, attributes: Sequence[str]) -> DataFrame:
     """The keys, attrs (struct), valid_from, valid_to, recorded_from, recorded_to; open ends are null.
 
-    Rows with recorded_to null are what is believed now. ``spot`` identifies the update (valid, recorded, attrs).
+    Rows with recorded_to null are what is believed now.
     """
     rows = materialize(
         updates.where(F.col(valid).isNotNull())
@@ -68,46 +68,46 @@ def ledger(updates: DataFrame, keys: Sequence[str], valid: str, recorded: str, a
         .select(
             *keys,
             F.date_trunc("month", F.col("__v")).alias("__block"),
-            F.struct("__v", "__r", "__a").alias("spot"),
+            F.struct("__v", "__r", "__a").alias("__upd"),
             # ties in recorded time are applied in valid order
             F.struct("__r", "__v", "__a").alias("__turn"),
         )
     )
-    seen = running(rows, keys, "spot", "__block", {"__after": ("min", "after", F.col("__turn"))})
+    seen = running(rows, keys, "__upd", "__block", {"__after": ("min", "after", F.col("__turn"))})
     flagged = materialize(seen.select(*rows.columns, F.coalesce(F.col("__turn") > F.col("__after"), F.lit(False)).alias("__late")))
     placed = running(
         flagged,
         keys,
-        "spot",
+        "__upd",
         "__block",
         {
-            "__anchor": ("max", "before", F.when(~F.col("__late"), F.col("spot"))),
-            "__before": ("max", "before", F.col("spot")),
+            "__anchor": ("max", "before", F.when(~F.col("__late"), F.col("__upd"))),
+            "__before": ("max", "before", F.col("__upd")),
         },
     )
     placed = materialize(placed)
     # in order, and right behind an update in order: it has that one as predecessor and, when recorded, no successor
     plain = ~F.col("__late") & F.col("__anchor").eqNullSafe(F.col("__before"))
-    simple = placed.where(plain).select(*keys, "spot", F.col("__before").alias("__pred"), F.lit(None).cast(rows.schema["spot"].dataType).alias("__succ"))
-    swept = _sweep(placed.where(~plain), keys, rows.schema["spot"].dataType)
+    simple = placed.where(plain).select(*keys, "__upd", F.col("__before").alias("__pred"), F.lit(None).cast(rows.schema["__upd"].dataType).alias("__succ"))
+    swept = _sweep(placed.where(~plain), keys, rows.schema["__upd"].dataType)
     linked = materialize(simple.unionByName(swept))
     opened = linked.select(
-        *keys, F.col("spot").alias("owner"), F.col("spot.__r").alias("recorded_from"), F.col("spot").alias("__by"), F.col("__succ.__v").alias("valid_to")
+        *keys, F.col("__upd").alias("__owner"), F.col("__upd.__r").alias("recorded_from"), F.col("__upd").alias("__by"), F.col("__succ.__v").alias("valid_to")
     )
     split = linked.where(F.col("__pred").isNotNull()).select(
-        *keys, F.col("__pred").alias("owner"), F.col("spot.__r").alias("recorded_from"), F.col("spot").alias("__by"), F.col("spot.__v").alias("valid_to")
+        *keys, F.col("__pred").alias("__owner"), F.col("__upd.__r").alias("recorded_from"), F.col("__upd").alias("__by"), F.col("__upd.__v").alias("valid_to")
     )
     # the rows of one update: as many as there were splits right behind it
-    first = F.col("__by") == F.col("owner")
-    turns = Window.partitionBy(*keys, "owner").orderBy("recorded_from", F.when(first, 0).otherwise(1), F.col("__by.__v").desc(), F.col("__by").desc())
+    first = F.col("__by") == F.col("__owner")
+    turns = Window.partitionBy(*keys, "__owner").orderBy("recorded_from", F.when(first, 0).otherwise(1), F.col("__by.__v").desc(), F.col("__by").desc())
     return (
         opened.unionByName(split)
         .withColumn("recorded_to", F.lead("recorded_from").over(turns))
         .where(
             (F.col("recorded_to").isNull() | (F.col("recorded_to") > F.col("recorded_from")))
-            & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("owner.__v")))
+            & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("__owner.__v")))
         )
-        .select(*keys, F.col("owner.__a").alias("attrs"), F.col("owner.__v").alias("valid_from"), "valid_to", "recorded_from", "recorded_to")
+        .select(*keys, F.col("__owner.__a").alias("attrs"), F.col("__owner.__v").alias("valid_from"), "valid_to", "recorded_from", "recorded_to")
     )
 
 
@@ -121,9 +121,9 @@ def _sweep(run_rows: DataFrame, keys: Sequence[str], spot_type) -> DataFrame:
     run = Window.partitionBy(*keys, "__anchor")
     ranked = run_rows.select(
         *keys,
-        "spot",
+        "__upd",
         "__anchor",
-        F.row_number().over(run.orderBy("spot")).alias("i"),
+        F.row_number().over(run.orderBy("__upd")).alias("i"),
         F.row_number().over(run.orderBy("__turn")).alias("t"),
         F.sha2(F.to_json(F.struct(*keys, "__anchor")), 256).alias("__run"),
     )
@@ -140,18 +140,18 @@ def _sweep(run_rows: DataFrame, keys: Sequence[str], spot_type) -> DataFrame:
         return pd.DataFrame({"__run": batch["__run"], "i": order, "left": left, "right": right})
 
     found = ranked.select("__run", "i", "t").groupBy("__run").applyInPandas(stack, "__run string, i int, left int, right int")
-    me = ranked.select(*keys, "spot", "__anchor", F.col("__run").alias("__g"), F.col("i").alias("__i"))
-    near = ranked.select(F.col("__run").alias("__n"), F.col("i").alias("__ni"), F.col("spot").alias("__spot"))
+    me = ranked.select(*keys, "__upd", "__anchor", F.col("__run").alias("__g"), F.col("i").alias("__i"))
+    near = ranked.select(F.col("__run").alias("__n"), F.col("i").alias("__ni"), F.col("__upd").alias("__spot"))
     out = me.join(found, (F.col("__g") == F.col("__run")) & (F.col("__i") == F.col("i")))
     out = out.join(near, (F.col("__g") == F.col("__n")) & (F.col("left") == F.col("__ni")), "left").withColumn("__l", F.col("__spot")).drop("__n", "__ni", "__spot")
     out = out.join(near, (F.col("__g") == F.col("__n")) & (F.col("right") == F.col("__ni")), "left")
-    return out.select(*keys, "spot", F.coalesce("__l", "__anchor").cast(spot_type).alias("__pred"), F.col("__spot").cast(spot_type).alias("__succ"))
+    return out.select(*keys, "__upd", F.coalesce("__l", "__anchor").cast(spot_type).alias("__pred"), F.col("__spot").cast(spot_type).alias("__succ"))
 
 
 def _believed(book: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Open rows of the ledger. It is written out, since every running value reads its input twice."""
     open_ = book.where(F.col("recorded_to").isNull())
-    return materialize(open_.select(*keys, "attrs", F.struct("valid_from").alias("at"), F.date_trunc("month", "valid_from").alias("__block")))
+    return materialize(open_.select(*keys, "attrs", F.struct("valid_from").alias("__at"), F.date_trunc("month", "valid_from").alias("__block")))
 
 
 def versions(book: DataFrame, keys: Sequence[str], absent: str | None = None) -> DataFrame:
@@ -160,21 +160,21 @@ def versions(book: DataFrame, keys: Sequence[str], absent: str | None = None) ->
     ``absent`` names a boolean attribute that marks an entity as missing; such spans end a version and are none.
     """
     now = _believed(book, keys)
-    before = running(now, keys, "at", "__block", {"__prev": ("max", "before", F.struct("at", "attrs"))})
+    before = running(now, keys, "__at", "__block", {"__prev": ("max", "before", F.struct("__at", "attrs"))})
     starts = materialize(before.where(F.col("__prev").isNull() | ~F.col("attrs").eqNullSafe(F.col("__prev.attrs"))).select(*now.columns))
-    ended = running(starts, keys, "at", "__block", {"__next": ("min", "after", F.col("at"))})
-    out = ended.select(*keys, "attrs", F.col("at.valid_from").alias("valid_from"), F.col("__next.valid_from").alias("valid_to"))
+    ended = running(starts, keys, "__at", "__block", {"__next": ("min", "after", F.col("__at"))})
+    out = ended.select(*keys, "attrs", F.col("__at.valid_from").alias("valid_from"), F.col("__next.valid_from").alias("valid_to"))
     return out if absent is None else out.where(~F.col(f"attrs.{absent}"))
 
 
 def version_starts(book: DataFrame, keys: Sequence[str], absent: str | None = None) -> DataFrame:
     """The keys and valid_from of every version; without the pass that looks for their ends."""
     now = _believed(book, keys)
-    before = running(now, keys, "at", "__block", {"__prev": ("max", "before", F.struct("at", "attrs"))})
+    before = running(now, keys, "__at", "__block", {"__prev": ("max", "before", F.struct("__at", "attrs"))})
     starts = before.where(F.col("__prev").isNull() | ~F.col("attrs").eqNullSafe(F.col("__prev.attrs")))
     if absent is not None:
         starts = starts.where(~F.col(f"attrs.{absent}"))
-    return starts.select(*keys, F.col("at.valid_from").alias("valid_from"))
+    return starts.select(*keys, F.col("__at.valid_from").alias("valid_from"))
 
 
 def snapshots_to_updates(snapshots: DataFrame, keys: Sequence[str], taken: str, attributes: Sequence[str]) -> DataFrame:

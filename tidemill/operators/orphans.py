@@ -76,7 +76,7 @@ def _sweep(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def orphans(refs: DataFrame, ref_column: str, at: str, parents: DataFrame, parent_key: str, born: str, died: str | None = None) -> DataFrame:
-    """Rows of ``refs`` whose reference names no parent at that time, with all their columns and the period (date)."""
+    """Rows of ``refs`` whose reference names no parent at that time, with all their columns and orphan_period (a date)."""
     rows = refs.where(F.col(ref_column).isNotNull()).select(
         F.struct(*(F.col(f"`{c}`") for c in refs.columns)).alias("__row"), F.col(ref_column).cast("string").alias("__key"), F.col(at).cast("timestamp_ntz").alias("__at"), _period(at).alias("__period")
     )
@@ -97,11 +97,11 @@ def orphans(refs: DataFrame, ref_column: str, at: str, parents: DataFrame, paren
     suspects = left.join(book, "code").select(F.col("key").alias("__k"), F.col("period").alias("__p"), "born", "died")
     near = rows.join(suspects, (F.col("__key") == F.col("__k")) & (F.col("__period") == F.col("__p")))
     gone = F.col("born").isNull() | F.coalesce(F.col("born") > F.col("__at"), F.lit(False)) | F.coalesce(F.col("died") <= F.col("__at"), F.lit(False))
-    return near.where(gone).select("__row.*", F.when(F.col("__period") != _NO_TIME, F.date_from_unix_date("__period")).alias("period"))
+    return near.where(gone).select("__row.*", F.when(F.col("__period") != _NO_TIME, F.date_from_unix_date("__period")).alias("orphan_period"))
 
 
 def report(found: DataFrame, table_name: str, ref_column: str) -> DataFrame:
     """Orphan rows and distinct keys per period."""
-    return found.groupBy("period").agg(F.count(F.lit(1)).alias("orphan_rows"), F.countDistinct(ref_column).alias("orphan_keys")).select(
+    return found.groupBy(F.col("orphan_period").alias("period")).agg(F.count(F.lit(1)).alias("orphan_rows"), F.countDistinct(ref_column).alias("orphan_keys")).select(
         F.lit(table_name).alias("table_name"), F.lit(ref_column).alias("ref_column"), "period", "orphan_rows", "orphan_keys"
     )

@@ -6,8 +6,8 @@ quotes and takes quotes inside a field), so the quoting check is a grammar over
 
 Defined results: a null or empty record fails as EMPTY_RECORD; a format other than csv and json fails as
 UNKNOWN_FORMAT; surrounding blanks make a number invalid; a field may hold line breaks inside quotes; very long
-records are classified like others. An empty table gives no rows. Columns of the input keep their names; columns this
-adds start with ``loaded_`` or are error_type and error_message (existing ones of these names are replaced).
+records are classified like others. An empty table gives no rows. Columns of the input keep their names; error_type,
+error_message, loaded_invoice and loaded_event replace existing columns of these names.
 """
 
 from __future__ import annotations
@@ -59,12 +59,15 @@ def invoice_reasons(rec: Column) -> Column:
 
 def classify_records(records: DataFrame, payload: str = "raw_payload", record_format: str = "record_format") -> DataFrame:
     """All rows with error_type and error_message (null where the record loads), loaded_invoice and loaded_event."""
-    raw, kind = F.col(payload), F.col(record_format)
+    raw, kind = F.col("__payload"), F.col("__kind")
     empty = raw.isNull() | (raw == "")
-    kept = [c for c in records.columns if c not in ("error_type", "error_message")]
+    kept = [c for c in records.columns if c not in ("error_type", "error_message", "loaded_invoice", "loaded_event")]
+    packed = records.select(
+        F.struct(*(F.col(f"`{c}`") for c in kept)).alias("__record"), F.col(f"`{payload}`").alias("__payload"), F.col(f"`{record_format}`").alias("__kind")
+    )
     sound = F.coalesce((kind == "csv") & ~empty & raw.rlike(_RECORD), F.lit(False))
     eight = sound & (csv_fields(raw) == len(INVOICE_FIELDS))
-    read = records.select(*(F.col(f"`{c}`") for c in kept), sound.alias("__sound"), eight.alias("__eight")).withColumn(
+    read = packed.select("*", sound.alias("__sound"), eight.alias("__eight")).withColumn(
         "__rec", csv_struct(F.when(F.col("__eight"), raw))
     )
     json_only = F.when(kind == "json", raw)
@@ -96,7 +99,8 @@ def classify_records(records: DataFrame, payload: str = "raw_payload", record_fo
         F.when(F.coalesce(kind == "csv", F.lit(False)) & csv_bad.isNull() & ~empty, loaded).alias("loaded_invoice"),
         F.when(F.coalesce(kind == "json", F.lit(False)) & json_bad.isNull() & ~empty, F.col("event").dropFields("error_type", "error_message")).alias("loaded_event"),
     )
-    return read.select(*(F.col(f"`{c}`") for c in kept), contract.computed_once(verdict).alias("__verdict")).select(*(F.col(f"`{c}`") for c in kept), "__verdict.*")
+    once = read.select("__record", contract.computed_once(verdict).alias("__verdict"))
+    return once.select(*(F.col(f"__record.`{c}`").alias(c) for c in kept), "__verdict.*")
 
 
 def rejected(records: DataFrame, **names: str) -> DataFrame:
