@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions.identifiers import UUID_SPELLINGS, canonical_uuid
+from tidemill.functions.identifiers import UUID_SPELLINGS, canonical_uuid, free_prefix
 
 # Fixed values of the contract.
 FIELDS = ("event_id", "event_type", "customer_id", "product_id", "order_id", "quantity", "price", "country", "query", "event_timestamp", "schema_version")
@@ -136,43 +136,43 @@ def _reasons(keys: Column, kind: dict[str, Column], text: dict[str, Column], num
     return F.array_compact(F.array(*found))
 
 
-def parse_events(raw: DataFrame, payload: str = "raw_payload") -> DataFrame:
-    """All columns of ``raw`` (but one named event) and ``event``: a struct of the typed fields (null where they fail), error_type, error_message.
+def parse_events(raw: DataFrame, payload: str = "raw_payload", out: str = "event") -> DataFrame:
+    """All columns of ``raw`` (but one named like ``out``) and ``out``: a struct of the typed fields (null where they fail), error_type, error_message.
 
     Each step is a projection of its own, so that a value used by several rules is computed once per row.
     """
-    v = F.col("__v")
-    kind, text = {f: F.col(f"__k_{f}") for f in FIELDS}, {f: F.col(f"__t_{f}") for f in FIELDS}
-    # source columns travel as one struct, so that none can clash with a helper
-    packed = raw.select(F.struct(*(F.col(f"`{c}`") for c in raw.columns)).alias("__row"), F.col(f"`{payload}`").alias("__raw"))
-    step = packed.withColumns({"__v": whole_json(F.col("__raw")), "__keys": F.json_object_keys(F.col("__raw"))})
-    step = step.withColumns({f"__k_{f}": _type(v, f) for f in FIELDS} | {f"__t_{f}": _text(v, f) for f in FIELDS})
+    h = free_prefix(raw.columns)
+    v = F.col(f"{h}v")
+    kind, text = {f: F.col(f"{h}k_{f}") for f in FIELDS}, {f: F.col(f"{h}t_{f}") for f in FIELDS}
+    step = raw.withColumns({f"{h}v": whole_json(F.col(f"`{payload}`")), f"{h}keys": F.json_object_keys(F.col(f"`{payload}`"))})
+    step = step.withColumns({f"{h}k_{f}": _type(v, f) for f in FIELDS} | {f"{h}t_{f}": _text(v, f) for f in FIELDS})
     step = step.withColumns(
         {
-            "__number": F.try_variant_get(v, "$.quantity", "bigint"),
-            "__version": F.try_variant_get(v, "$.schema_version", "bigint"),
-            "__value": F.try_variant_get(v, "$.price", "double"),
-            "__parts": _time_parts(text["event_timestamp"]),
+            f"{h}number": F.try_variant_get(v, "$.quantity", "bigint"),
+            f"{h}version": F.try_variant_get(v, "$.schema_version", "bigint"),
+            f"{h}value": F.try_variant_get(v, "$.price", "double"),
+            f"{h}parts": _time_parts(text["event_timestamp"]),
         }
-    ).withColumn("__time", _utc_time(F.col("__parts"), text["event_timestamp"]))
-    shape = F.when(v.isNull(), F.array(F.lit("payload: not one JSON value"))).when(F.col("__keys").isNull(), F.array(F.lit("payload: not a JSON object")))
-    why = F.coalesce(shape, _reasons(F.col("__keys"), kind, text, F.col("__number"), F.col("__version"), F.col("__time"), F.col("__value")))
-    with_v = step.withColumn("__why", why).withColumn("__ok", F.size("__why") == 0)
-    ok = F.col("__ok")
+    ).withColumn(f"{h}time", _utc_time(F.col(f"{h}parts"), text["event_timestamp"]))
+    keys = F.col(f"{h}keys")
+    shape = F.when(v.isNull(), F.array(F.lit("payload: not one JSON value"))).when(keys.isNull(), F.array(F.lit("payload: not a JSON object")))
+    why = F.coalesce(shape, _reasons(keys, kind, text, F.col(f"{h}number"), F.col(f"{h}version"), F.col(f"{h}time"), F.col(f"{h}value")))
+    with_v = step.withColumn(f"{h}why", why).withColumn(f"{h}ok", F.size(f"{h}why") == 0)
+    ok = F.col(f"{h}ok")
     price = F.when(text["price"].rlike(_PLAIN_PRICE), text["price"]).otherwise(_tidy_price(text["price"]))
     fields = {
         "event_id": F.when(ok, canonical_uuid(text["event_id"])).otherwise(F.when(kind["event_id"] == "STRING", text["event_id"])),
         **{f: F.when(ok, text[f]) for f in ("event_type", "customer_id", "product_id", "order_id")},
-        "quantity": F.when(ok, F.col("__number").try_cast("int")),
+        "quantity": F.when(ok, F.col(f"{h}number").try_cast("int")),
         "price": F.when(ok & (kind["price"] != "VOID"), price),
         **{f: F.when(ok, text[f]) for f in ("country", "query")},
-        "event_timestamp": F.when(ok, F.col("__time")),
+        "event_timestamp": F.when(ok, F.col(f"{h}time")),
         "schema_version": F.when(ok, F.lit(1)),
         "error_type": F.when(~ok, F.lit(SCHEMA_VALIDATION)),
-        "error_message": F.when(~ok, F.array_join("__why", "; ")),
+        "error_message": F.when(~ok, F.array_join(f"{h}why", "; ")),
     }
-    once = with_v.select("__row", computed_once(F.struct(*(c.alias(n) for n, c in fields.items()))).alias("__event"))
-    return once.select(*(F.col(f"__row.`{c}`").alias(c) for c in raw.columns if c != "event"), F.col("__event").alias("event"))
+    made = computed_once(F.struct(*(c.alias(n) for n, c in fields.items())))
+    return with_v.select(*(F.col(f"`{c}`") for c in raw.columns if c != out), made.alias(out))
 
 
 def expected_topic(event_type: Column) -> Column:

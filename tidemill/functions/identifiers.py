@@ -1,10 +1,19 @@
-"""UUID texts."""
+"""UUID texts and column names."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+def free_prefix(columns: list[str]) -> str:
+    """A prefix for helper columns that no given column starts with."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 _H = "[0-9a-fA-F]"
 _DASHED = f"{_H}{{8}}-{_H}{{4}}-{_H}{{4}}-{_H}{{4}}-{_H}{{12}}"
 #: The spellings the event contract accepts: dashed, bare, in braces, and as a URN (its prefix in lower case).

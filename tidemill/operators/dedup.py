@@ -19,6 +19,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.functions.identifiers import free_prefix
 from tidemill.session import materialize, prepare, stored_bytes
 
 #: Bytes of a bitmap of 32,768 rows in memory, with its keys.
@@ -91,9 +92,7 @@ def keep_first(
 
 
 def _without(source: DataFrame, vectors: DataFrame) -> DataFrame:
-    prefix = "__"
-    while any(c.lower().startswith(prefix) for c in source.columns):
-        prefix += "_"
+    prefix = free_prefix(source.columns)
     file, bucket, bit, bits = (prefix + n for n in ("f", "k", "b", "v"))
     spot = F.col("_metadata.row_index")
     placed = source.select(

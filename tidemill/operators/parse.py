@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions import contract
+from tidemill.functions.identifiers import free_prefix
 
 # The fields of an invoice record.
 INVOICE_FIELDS = ("InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID", "Country")
@@ -59,33 +60,33 @@ def invoice_reasons(rec: Column) -> Column:
 
 def classify_records(records: DataFrame, payload: str = "raw_payload", record_format: str = "record_format") -> DataFrame:
     """All rows with error_type and error_message (null where the record loads), loaded_invoice and loaded_event."""
-    raw, kind = F.col("__payload"), F.col("__kind")
+    h = free_prefix(records.columns)
+    raw, kind = F.col(f"{h}payload"), F.col(f"{h}kind")
     empty = raw.isNull() | (raw == "")
     kept = [c for c in records.columns if c not in ("error_type", "error_message", "loaded_invoice", "loaded_event")]
-    packed = records.select(
-        F.struct(*(F.col(f"`{c}`") for c in kept)).alias("__record"), F.col(f"`{payload}`").alias("__payload"), F.col(f"`{record_format}`").alias("__kind")
-    )
+    source = records.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{payload}`").alias(f"{h}payload"), F.col(f"`{record_format}`").alias(f"{h}kind"))
     sound = F.coalesce((kind == "csv") & ~empty & raw.rlike(_RECORD), F.lit(False))
     eight = sound & (csv_fields(raw) == len(INVOICE_FIELDS))
-    read = packed.select("*", sound.alias("__sound"), eight.alias("__eight")).withColumn(
-        "__rec", csv_struct(F.when(F.col("__eight"), raw))
+    read = source.select("*", sound.alias(f"{h}sound"), eight.alias(f"{h}eight")).withColumn(
+        f"{h}rec", csv_struct(F.when(F.col(f"{h}eight"), raw))
     )
     json_only = F.when(kind == "json", raw)
-    read = read.withColumn("__json", json_only).withColumn("__why_csv", F.when(F.col("__eight"), invoice_reasons(F.col("__rec"))))
-    read = contract.parse_events(read, "__json")
+    read = read.withColumn(f"{h}json", json_only).withColumn(f"{h}why_csv", F.when(F.col(f"{h}eight"), invoice_reasons(F.col(f"{h}rec"))))
+    read = contract.parse_events(read, f"{h}json", f"{h}event")
+    event = F.col(f"{h}event")
     csv_bad = (
-        F.when(~F.col("__sound"), BROKEN_QUOTING).when(~F.col("__eight") | F.col("__rec.__corrupt").isNotNull(), COLUMN_COUNT).when(F.size("__why_csv") > 0, INVALID_VALUE)
+        F.when(~F.col(f"{h}sound"), BROKEN_QUOTING).when(~F.col(f"{h}eight") | F.col(f"{h}rec")["__corrupt"].isNotNull(), COLUMN_COUNT).when(F.size(f"{h}why_csv") > 0, INVALID_VALUE)
     )
     csv_why = (
-        F.when(~F.col("__sound"), "a quote is open, unpaired or inside a field")
-        .when(~F.col("__eight"), F.concat(csv_fields(raw).cast("string"), F.lit(" fields instead of 8")))
-        .otherwise(F.array_join("__why_csv", "; "))
+        F.when(~F.col(f"{h}sound"), "a quote is open, unpaired or inside a field")
+        .when(~F.col(f"{h}eight"), F.concat(csv_fields(raw).cast("string"), F.lit(" fields instead of 8")))
+        .otherwise(F.array_join(f"{h}why_csv", "; "))
     )
-    shape = F.col("event.error_message").startswith("payload: not")
-    json_bad = F.when(shape, MALFORMED_JSON).otherwise(F.col("event.error_type"))
+    shape = event["error_message"].startswith("payload: not")
+    json_bad = F.when(shape, MALFORMED_JSON).otherwise(event["error_type"])
     error = F.when(empty, EMPTY_RECORD).when(kind == "csv", csv_bad).when(kind == "json", json_bad).otherwise(UNKNOWN_FORMAT)
-    why = F.when(empty, "nothing to load").when(kind == "csv", F.when(csv_bad.isNotNull(), csv_why)).when(kind == "json", F.col("event.error_message")).otherwise("no loader for this format")
-    rec = F.col("__rec")
+    why = F.when(empty, "nothing to load").when(kind == "csv", F.when(csv_bad.isNotNull(), csv_why)).when(kind == "json", event["error_message"]).otherwise("no loader for this format")
+    rec = F.col(f"{h}rec")
     loaded = F.struct(
         *(rec[c].alias(c) for c in ("InvoiceNo", "StockCode", "Description")),
         rec["Quantity"].try_cast("int").alias("Quantity"),
@@ -97,10 +98,10 @@ def classify_records(records: DataFrame, payload: str = "raw_payload", record_fo
         error.alias("error_type"),
         why.alias("error_message"),
         F.when(F.coalesce(kind == "csv", F.lit(False)) & csv_bad.isNull() & ~empty, loaded).alias("loaded_invoice"),
-        F.when(F.coalesce(kind == "json", F.lit(False)) & json_bad.isNull() & ~empty, F.col("event").dropFields("error_type", "error_message")).alias("loaded_event"),
+        F.when(F.coalesce(kind == "json", F.lit(False)) & json_bad.isNull() & ~empty, event.dropFields("error_type", "error_message")).alias("loaded_event"),
     )
-    once = read.select("__record", contract.computed_once(verdict).alias("__verdict"))
-    return once.select(*(F.col(f"__record.`{c}`").alias(c) for c in kept), "__verdict.*")
+    once = read.select(*(F.col(f"`{c}`") for c in kept), contract.computed_once(verdict).alias(f"{h}verdict"))
+    return once.select(*(F.col(f"`{c}`") for c in kept), f"{h}verdict.*")
 
 
 def rejected(records: DataFrame, **names: str) -> DataFrame:

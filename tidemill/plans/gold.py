@@ -6,6 +6,8 @@ decimal throughout: unit prices are rounded half up to cents before they are mul
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +33,9 @@ def purchases(stg: DataFrame) -> DataFrame:
     return stg.where(F.col("event_type") == "purchase").withColumn("line_total", line_total(F.col("quantity"), F.col("price")))
 
 
-def current_orders(orders: DataFrame) -> DataFrame:
-    """One row per order: the one ingested last (of equal times the greatest row)."""
-    rest = [c for c in orders.columns if c not in ("order_id", "ingestion_timestamp")]
+def current_orders(orders: DataFrame, columns: Sequence[str] = ("customer_id", "order_timestamp", "country")) -> DataFrame:
+    """One row per order: the one ingested last (of equal times the greatest). Only the named columns are read."""
+    rest = list(columns)
     last = orders.where(F.col("order_id").isNotNull()).groupBy("order_id").agg(F.max(F.struct("ingestion_timestamp", *rest)).alias("r"))
     return last.select("order_id", "r.*")
 

@@ -462,7 +462,7 @@ def merge_upsert(spark, sf):
     first, second = _two_deliveries(load(spark, sf, "silver_orders"))
     table = _table(spark)
     for delivery in (first, second):
-        table.merge_current(gold.current_orders(delivery).select(*columns), ["order_id"])
+        table.merge_current(gold.current_orders(delivery, ("customer_id", "order_timestamp", "country", "is_cancelled")).select(*columns), ["order_id"])
     return table.read()
 
 
