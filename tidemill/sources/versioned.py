@@ -140,6 +140,12 @@ class VersionedTable:
             on = one if on is None else on & one
         return on
 
+    def _present(self, target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """Keys of the source that the target has, as t_...: the target is only filtered by a source that is small
+        enough to be sent to it (which Spark decides by size), and isn't shuffled then."""
+        wanted = source.select(*(F.col(f"`{k}`").alias(f"s_{k}") for k in keys)).distinct()
+        return target.join(wanted, self._same(keys, "s"), "left_semi").select(*(F.col(f"`{k}`").alias(f"t_{k}") for k in keys)).distinct()
+
     def merge_insert_only(self, source: DataFrame, keys: Sequence[str], where: Column | None = None) -> dict:
         """Insert source rows whose key the table lacks. Rows repeated within the source are all inserted; null keys
         match nothing. ``where`` narrows the target (on its columns), so that old files needn't be read."""
@@ -148,8 +154,10 @@ class VersionedTable:
         target = self.read()
         if where is not None:
             target = target.where(where)
-        there = target.select(*(F.col(f"`{k}`").alias(f"t_{k}") for k in keys)).distinct()
-        return self._insert(source.join(there, self._same(keys, "t"), "left_anti"), "MERGE INSERT")
+        if not self.manifest()["files"]:
+            return self._insert(source, "MERGE INSERT")
+        source = materialize(source)
+        return self._insert(source.join(self._present(target, source, keys), self._same(keys, "t"), "left_anti"), "MERGE INSERT")
 
     def merge_current(self, source: DataFrame, keys: Sequence[str], changed: Sequence[str] | None = None) -> dict:
         """Replace rows whose key matches and whose ``changed`` columns differ (all, if none are named); insert the rest.
@@ -170,7 +178,7 @@ class VersionedTable:
         for c in compared:
             differs = differs | ~F.col(f"`{c}`").eqNullSafe(F.col(f"u_{c}"))
         updates = materialize(met.where(differs).select(*(F.col(f"`{c}`") for c in source.columns), "__file"))
-        inserts = source.join(target.select(*(F.col(f"`{k}`").alias(f"t_{k}") for k in keys)).distinct(), self._same(keys, "t"), "left_anti")
+        inserts = source.join(self._present(target, source, keys), self._same(keys, "t"), "left_anti")
         # file names: at most as many as the manifest lists already
         touched = {_spot(r["__file"]) for r in updates.select("__file").distinct().collect()}
         fresh = updates.drop("__file").distinct()

@@ -59,12 +59,16 @@ def process_batch(house: Lakehouse, batch: DataFrame, batch_id: int, namespace:
         F.count_if(late).alias("late"),
         F.try_divide(F.sum(F.when(ok, ms)).cast("double"), F.count_if(ok)).alias("average"),
         F.max(F.when(ok, ms)).alias("most"),
+        F.min("kafka_offset").alias("first_offset"),
+        F.max("kafka_offset").alias("last_offset"),
     ).first()
     if not counts["read"]:
         return {"read": 0}
-    house.bronze.merge_insert_only(classified.select(*batch.columns), TRANSPORT)
+    # a replay can only meet rows of these offsets: file statistics rule out the rest of the tables
+    near = F.col("kafka_offset").between(counts["first_offset"], counts["last_offset"])
+    house.bronze.merge_insert_only(classified.select(*batch.columns), TRANSPORT, near)
     rejected = classified.where(~ok).select("event_id", *batch.columns, "error_type", "error_message")
-    house.quarantine.merge_insert_only(rejected, TRANSPORT)
+    house.quarantine.merge_insert_only(rejected, TRANSPORT, near)
     accepted = classified.where(ok).drop("error_type", "error_message", "raw_payload")
     first = dedupe_rows(accepted, ["event_id"], [F.col(c) for c in ("topic", "kafka_partition", "kafka_offset")])
     written = house.silver.merge_insert_only(first, ["event_id"])["inserted"]
