@@ -48,7 +48,12 @@ def test_ledger_equals_sequential_application(spark, seed):
             v = T0 + timedelta(days=3 * rnd.randrange(60))
             late = timedelta(days=rnd.choice([0, 0, 0, 1, 20, 90]))
             updates.append((key, v, v + late, rnd.choice(["p", "q", None])))
-    _, got = ours(spark, updates + updates[:5])
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(seed * 3))  # runs broken off by batches
+    try:
+        _, got = ours(spark, updates + updates[:5])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
     assert got == brute(updates)
 
 

@@ -18,7 +18,7 @@ they hold at no time; a null key is an entity of its own; an empty table gives n
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -128,18 +128,33 @@ def _sweep(run_rows: DataFrame, keys: Sequence[str], spot_type) -> DataFrame:
         F.sha2(F.to_json(F.struct(*keys, "__anchor")), 256).alias("__run"),
     )
 
-    def stack(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("i")
-        order, turn = batch["i"].to_numpy(), batch["t"].to_numpy()
-        left, right, open_ = [0] * len(order), [0] * len(order), []
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        runs, order, turn = rows["__run"].to_numpy(), rows["i"].to_numpy(), rows["t"].to_numpy()
+        left, right, open_, run = [0] * len(order), [0] * len(order), [], None
         for n in range(len(order)):
+            if runs[n] != run:
+                run, open_ = runs[n], []
             while open_ and turn[open_[-1]] > turn[n]:
                 right[open_.pop()] = int(order[n])
             left[n] = int(order[open_[-1]]) if open_ else 0
             open_.append(n)
-        return pd.DataFrame({"__run": batch["__run"], "i": order, "left": left, "right": right})
-
-    found = ranked.select("__run", "i", "t").groupBy("__run").applyInPandas(stack, "__run string, i int, left int, right int")
+        return pd.DataFrame({"__run": runs, "i": order, "left": left, "right": right})
+
+    def stack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows come run by run; only a run that a batch breaks off is kept for the next one
+        rest = None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch])
+            if len(rows):
+                broken = (rows["__run"] == rows["__run"].iloc[-1]).to_numpy()
+                rest, whole = rows[broken], rows[~broken]
+                if len(whole):
+                    yield solve(whole)
+        if rest is not None and len(rest):
+            yield solve(rest)
+
+    by_run = ranked.select("__run", "i", "t").repartition("__run").sortWithinPartitions("__run", "i")
+    found = by_run.mapInPandas(stack, "__run string, i int, left int, right int")
     me = ranked.select(*keys, "__upd", "__anchor", F.col("__run").alias("__g"), F.col("i").alias("__i"))
     near = ranked.select(F.col("__run").alias("__n"), F.col("i").alias("__ni"), F.col("__upd").alias("__spot"))
     out = me.join(found, (F.col("__g") == F.col("__run")) & (F.col("__i") == F.col("i")))
