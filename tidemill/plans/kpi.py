@@ -126,3 +126,13 @@ def column_tests(frame: DataFrame, not_null: Sequence[str] = (), unique: Sequenc
 def relationship(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
     """Rows of the child whose reference names no parent at all; null references are ignored."""
     return child.where(F.col(column).isNotNull()).join(parent.select(F.col(key).alias("__parent")).distinct(), F.col(column) == F.col("__parent"), "left_anti")
+
+
+def readiness(tables: dict[str, DataFrame], orphans: DataFrame) -> DataFrame:
+    """One row: rows per table, orphan references, and whether every table has rows and no reference is an orphan."""
+    n = F.count(F.lit(1))
+    row = reconcile({**{name: (frame, n) for name, frame in tables.items()}, "orphans": (orphans, n)})
+    ready = F.col("orphans") == 0
+    for name in tables:
+        ready = ready & (F.col(name) > 0)
+    return row.withColumn("ready", ready)

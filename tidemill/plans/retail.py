@@ -325,6 +325,15 @@ def uniqueness_null_checks(spark, sf):
     return kpi.column_tests(load(spark, sf, "silver_orders"), not_null=("customer_id", "country"), unique=("order_id",), accepted={"is_cancelled": ("true", "false")})
 
 
+@query(
+    f"""WITH {ORD}, {ITM}, {PRD}, c AS (SELECT (SELECT count(*) FROM ord) AS orders, (SELECT count(*) FROM itm) AS items, (SELECT count(*) FROM prd) AS products,
+  (SELECT count(*) FROM itm WHERE order_id IS NOT NULL AND order_id NOT IN (SELECT order_id FROM ord)) AS orphans) SELECT *, orders > 0 AND items > 0 AND products > 0 AND orphans = 0 AS ready FROM c"""
+)
+def readiness(spark, sf):
+    orders, items = _orders(spark, sf), _items(spark, sf)
+    return kpi.readiness({"orders": orders, "items": items, "products": _products(spark, sf)}, kpi.relationship(items, "order_id", orders, "order_id"))
+
+
 _VALID_ITEM = "trim(order_id) != '' AND trim(product_id) != '' AND quantity > 0 AND unit_price >= 0"
 
 

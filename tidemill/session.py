@@ -85,14 +85,3 @@ def materialize(frame: DataFrame) -> DataFrame:
     path = _own(f"{shared_dir(spark)}/tidemill/{uuid.uuid4().hex}")
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
-
-
-def stored_bytes(frame: DataFrame) -> int:
-    """Bytes on disk of a materialized frame, as the file system gives them."""
-    spark = frame.sparkSession
-    jvm = spark.sparkContext._jvm
-    total = 0
-    for name in frame.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        total += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
-    return total

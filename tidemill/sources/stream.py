@@ -44,3 +44,14 @@ def parquet_files(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
     # as a pattern, a single file is accepted too
     pattern = f"{path[:-1]}[{path[-1]}]"
     return spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_per_trigger).parquet(pattern)
+
+
+def kafka_send(frame: DataFrame, servers: str, run_id: str, secure: dict[str, str] | None = None) -> None:
+    """raw_payload rows to their topics, with scenario and run as headers. Needs the Kafka connector on the class path."""
+    text = lambda c: F.encode(c, "UTF-8")
+    named = [(n, c) for n, c in (("scenario", F.col("scenario") if "scenario" in frame.columns else None), ("stream_run_id", F.lit(run_id))) if c is not None]
+    headers = F.array(*(F.struct(F.lit(n).alias("key"), text(c).alias("value")) for n, c in named))
+    writer = frame.select("topic", text(F.col("raw_payload")).alias("value"), headers.alias("headers")).write.format("kafka").option("kafka.bootstrap.servers", servers)
+    for key, value in {"enable.idempotence": "true", "acks": "all", **(secure or {})}.items():
+        writer = writer.option(f"kafka.{key}", value)
+    writer.option("includeHeaders", "true").save()

@@ -22,13 +22,9 @@ def spread(frame: DataFrame) -> DataFrame:
     A file with one row group is one task however many cores there are. Tables that fill half the cores by themselves
     are left alone: no large table is ever shuffled here.
     """
-    from tidemill.session import stored_bytes
-
     spark = frame.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    # the listing of a large table is not walked: its number of files says enough
-    files = frame.inputFiles()
-    if 2 * len(files) > cores or 2 * -(-stored_bytes(frame) // split) > cores:
-        return frame
-    return frame.repartition(cores)
+    # the size that the planner knows of the files; nothing is listed again
+    size = int(str(frame._jdf.queryExecution().analyzed().collectLeaves().apply(0).stats().sizeInBytes()))
+    return frame if 2 * -(-size // split) > cores else frame.repartition(cores)
