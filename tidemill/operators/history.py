@@ -89,8 +89,9 @@ def ledger(updates: DataFrame, keys: Sequence[str], valid: str, recorded: str, a
     # in order, and right behind an update in order: it has that one as predecessor and, when recorded, no successor
     plain = ~F.col("__late") & F.col("__anchor").eqNullSafe(F.col("__before"))
     simple = placed.where(plain).select(*keys, "__upd", F.col("__before").alias("__pred"), F.lit(None).cast(rows.schema["__upd"].dataType).alias("__succ"))
-    swept = _sweep(placed.where(~plain), keys, rows.schema["__upd"].dataType)
-    linked = materialize(simple.unionByName(swept))
+    runs = placed.where(~plain)
+    # without late updates there is nothing to sweep, and no Python process need start
+    linked = simple if runs.isEmpty() else materialize(simple.unionByName(_sweep(runs, keys, rows.schema["__upd"].dataType)))
     opened = linked.select(
         *keys, F.col("__upd").alias("__owner"), F.col("__upd.__r").alias("recorded_from"), F.col("__upd").alias("__by"), F.col("__succ.__v").alias("valid_to")
     )
