@@ -24,6 +24,10 @@ RUNTIME = {
 }
 
 
+#: Folders of sessions that name none, by application.
+_TEMPORARY: dict[str, str] = {}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Set what results depend on; sizes and memory are left to the cluster."""
     for name, value in RUNTIME.items():
@@ -56,10 +60,11 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    own = tempfile.mkdtemp(prefix="tidemill-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+    app = spark.sparkContext.applicationId
+    if app not in _TEMPORARY:
+        _TEMPORARY[app] = tempfile.mkdtemp(prefix="tidemill-")
+        atexit.register(shutil.rmtree, _TEMPORARY[app], ignore_errors=True)
+    return f"file://{_TEMPORARY[app]}"
 
 
 def _own(path: str) -> str:
