@@ -72,3 +72,21 @@ def test_whole_table(spark, tables, tokenizer):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     want = {r.doc_id: tokenizer[0].encode_ordinary(r.text or "") for r in docs.select("doc_id", "text").collect()}
     assert {r.doc_id: list(r.ids) for r in encode.encode(docs, ["doc_id"]).collect()} == want
+
+
+def test_slices_keep_every_row():
+    texts = ["a" * n for n in (5, 0, 12, 1, 1, 1, 30, 2)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    parts = list(encode.slices(batch, 10))
+    assert len(parts) > 2 and [x for p in parts for x in p.column(1).to_pylist()] == texts
+    assert list(encode.slices(batch.slice(0, 0))) == []
+
+
+def test_slices_of_slices_encode_alike(tokenizer):
+    texts = ["foo bar", None, "baz" * 50, "", "x\ny"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]).slice(1, 4)
+    got = []
+    for part in encode.slices(batch, 4):
+        flat, offsets = encode.encode_column(part.column(0), *tokenizer, {})
+        got += [flat[offsets[i] : offsets[i + 1]].tolist() for i in range(part.num_rows)]
+    assert got == [tokenizer[0].encode_ordinary(t or "") for t in texts[1:]]

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Where the vocabulary files lie on every machine.
@@ -35,6 +36,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 FRAGMENT = 2048
 #: White space as the pattern knows it; runs beyond this length are split by hand.
 LONG_BLANK = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}")
+#: Bytes of text worked on at once.
+SLICE = 8 << 20
 #: Distinct fragments that a task remembers between batches, in bytes.
 REMEMBER = 24 << 20
 
@@ -126,10 +129,22 @@ def encode_column(texts: pa.Array, encoding, never: np.ndarray, known: dict[byte
     return flat[take], filled[np.searchsorted(begins, bounds)]
 
 
+def slices(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts (last column) have about ``most`` bytes, so that work memory stays bounded. A text
+    longer than that is a part of its own."""
+    if not batch.num_rows:
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(sizes, dtype=np.int64) - sizes) // most
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def _batches(batches: Iterator[pa.RecordBatch], path: str, emit) -> Iterator[pa.RecordBatch]:
     encoding, never = load_tokenizer(path)
     known: dict[bytes, np.ndarray] = {}
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         ids, offsets = encode_column(batch.column(batch.num_columns - 1), encoding, never, known)
         yield emit(batch, ids, offsets)
         if sum(map(len, known)) > REMEMBER:
