@@ -76,6 +76,8 @@ ORACLE = {
     "WHERE ingestion_timestamp > event_timestamp + INTERVAL 30 MINUTE AND ingestion_timestamp <= event_timestamp + INTERVAL 48 HOUR",
     "p2_daily": f"WITH {_MESSAGES} SELECT order_date, count(DISTINCT order_id) AS orders, CAST(coalesce(sum(quantity), 0) AS BIGINT) AS units, "
     "CAST(coalesce(sum(quantity * price), 0) AS DECIMAL(18,2)) AS revenue, count(*) FILTER (WHERE is_late) AS late_lines FROM bought GROUP BY order_date",
+    "p2_incremental": f"WITH {_MESSAGES} SELECT order_date, CAST(coalesce(sum(quantity), 0) AS BIGINT) AS units, CAST(coalesce(sum(quantity * price), 0) AS DECIMAL(18,2)) AS revenue, "
+    "count(*) FILTER (WHERE is_late) AS late_lines FROM bought GROUP BY order_date",
     "p2_corrections": f"""WITH {_MESSAGES}, o AS (SELECT order_date, order_id, min(arrival_batch) AS arrival_batch FROM bought WHERE order_id IS NOT NULL GROUP BY ALL),
 b AS (SELECT order_date, arrival_batch, sum(quantity) AS u, sum(quantity * price) AS r FROM bought GROUP BY ALL),
 c AS (SELECT b.*, (SELECT count(*) FROM o WHERE o.order_date = b.order_date AND o.arrival_batch = b.arrival_batch) AS n FROM b)
