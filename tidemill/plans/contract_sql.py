@@ -51,6 +51,8 @@ INVOICE_OK = f"""coalesce(regexp_full_match(raw_payload, '{_RECORD}') AND {_BARE
 _QUARANTINE = f"""q AS (SELECT *, {JSON.format(raw='raw_payload')} AS j, regexp_extract(raw_payload, '{_RECORD}', {_NAMES}) AS f FROM quarantine),
 judged AS (SELECT *, CASE record_format WHEN 'csv' THEN {INVOICE_OK} WHEN 'json' THEN {EVENT_OK} ELSE false END AS ok FROM q)"""
 
+_VALUE = lambda n: f"""CASE WHEN f.{n} != '' THEN replace(regexp_replace(f.{n}, '^"|"$', '', 'g'), '""', '"') END"""
+
 _TOPIC = f"""CASE WHEN {_text('event_type')} IN ('product_view', 'search', 'add_to_cart') THEN 'customer-events' WHEN {_text('event_type')} IN ('checkout', 'purchase', 'payment') THEN 'order-events' ELSE 'inventory-events' END"""
 _BRONZE = f"""b AS (SELECT *, {JSON.format(raw='raw_payload')} AS j FROM bronze_events),
 c AS (SELECT *, {EVENT_OK} AS ok FROM b),
@@ -59,6 +61,14 @@ v AS (SELECT *, CASE WHEN ok THEN {UTC} END AS utc, CASE WHEN NOT ok THEN 'SCHEM
 
 ORACLE = {
     "p6_found": f"WITH {_QUARANTINE} SELECT record_id FROM judged WHERE NOT ok",
+    "p6_error_types": f"""WITH {_QUARANTINE} SELECT record_id, CASE WHEN record_format = 'csv' THEN CASE
+  WHEN NOT regexp_full_match(raw_payload, '{_F}(,{_F})*') THEN 'BROKEN_QUOTING' WHEN NOT regexp_full_match(raw_payload, '{_RECORD}') THEN 'COLUMN_COUNT' ELSE 'INVALID_VALUE' END
+  WHEN j IS NULL OR json_type(j) != 'OBJECT' THEN 'MALFORMED_JSON' ELSE 'SCHEMA_VALIDATION' END AS error_type FROM judged WHERE NOT ok""",
+    "p6_invoices": f"""WITH {_QUARANTINE} SELECT record_id, {_VALUE('a')} AS InvoiceNo, {_VALUE('b')} AS StockCode, {_VALUE('c')} AS Description, CAST({_VALUE('q')} AS INTEGER) AS Quantity,
+  CAST({_VALUE('d')} AS TIMESTAMP) AS InvoiceDate, CAST({_VALUE('p')} AS DECIMAL(18,6)) AS UnitPrice, {_VALUE('u')} AS CustomerID, {_VALUE('l')} AS Country FROM judged WHERE ok AND record_format = 'csv'""",
+    "p6_events": f"""WITH {_QUARANTINE} SELECT record_id, {_uuid(_text('event_id'))} AS event_id, {', '.join(f"{_text(c)} AS {c}" for c in ('event_type', 'customer_id', 'product_id', 'order_id'))},
+  CAST({_text('quantity')} AS INTEGER) AS quantity, {', '.join(f"{_text(c)} AS {c}" for c in ('price', 'country', 'query'))}, {UTC} AS event_timestamp, 1 AS schema_version
+  FROM judged WHERE ok AND record_format = 'json'""",
     "contract_verdicts": f"WITH {_BRONZE} SELECT topic, kafka_partition, kafka_offset, error_type, utc AS event_timestamp FROM v",
     "stream_silver_ids": f"WITH {_BRONZE} SELECT DISTINCT {_uuid(_text('event_id'))} AS event_id FROM v WHERE error_type IS NULL",
     "stream_audit_totals": f"""WITH {_BRONZE}, t AS (SELECT count(*) AS records_read, count(DISTINCT CASE WHEN error_type IS NULL THEN {_uuid(_text('event_id'))} END) AS w,

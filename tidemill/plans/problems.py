@@ -190,6 +190,10 @@ def p6_rejected(spark: SparkSession, sf: str) -> DataFrame:
     return parse.rejected(spread(load(spark, sf, "quarantine"))).select("record_id", "source_file", "line_number", "raw_payload", "error_type", "error_message")
 
 
+def p6_error_types(spark: SparkSession, sf: str) -> DataFrame:
+    return parse.rejected(spread(load(spark, sf, "quarantine"))).select("record_id", "error_type")
+
+
 def p6_invoices(spark: SparkSession, sf: str) -> DataFrame:
     good = parse.loaded(spread(load(spark, sf, "quarantine"))).where(F.col("record_format") == "csv")
     return good.select("record_id", "loaded_invoice.*")
@@ -235,6 +239,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_summary, p2_found, p2_daily, p2_corrections, p2_incremental, p3_found, p3_country_figures, p4_found, p4_silver_once, p4_bronze_once,
-        p5_found, p5_product_history, p5_price_history, p5_ledger, p6_found, p6_rejected, p6_invoices, p6_events, p7_found, p7_report,
+        p5_found, p5_product_history, p5_price_history, p5_ledger, p6_found, p6_rejected, p6_error_types, p6_invoices, p6_events, p7_found, p7_report,
     )
 }
