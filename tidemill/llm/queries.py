@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,4 +46,19 @@ def p10_forms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p8_ids, p8_tokens_by_source, p9_mix, p9_shares, p10_found, p10_classes, p10_forms)}
-ORACLE: dict[str, str] = {}
+
+
+def _seen_in_sql() -> str:
+    """The visual form in SQL, for the characters of the test tables: no joined pictures, no marked look-alikes."""
+    wide = [*range(0xFF01, 0xFF5F), *range(0xFF61, 0xFFA0)]
+    to = {chr(c): unicodedata.normalize("NFKD", chr(c)) for c in wide if c != 0xFFA0} | {c: " " for c in "\u00a0\u2007\u202f"} | lookalike.LETTERS
+    quote = lambda t: t.replace("'", "''")
+    lines = "replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    bare = f"regexp_replace({lines}, '[\\x{{AD}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}\\x{{FEFF}}\\x{{FE00}}-\\x{{FE0F}}]', '', 'g')"
+    return f"nfc_normalize(translate(nfc_normalize({bare}), '{quote(''.join(to))}', '{quote(''.join(to.values()))}'))"
+
+
+ORACLE = {
+    "p10_found": f"""WITH v AS (SELECT doc_id, text, md5({_seen_in_sql()}) AS seen FROM documents WHERE text != '')
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM v a JOIN v b ON a.seen = b.seen AND a.doc_id < b.doc_id AND a.text != b.text""",
+}
