@@ -56,3 +56,56 @@ def test_corrections_add_up_and_merge_refuses_closed(spark):
 
 def test_empty(spark):
     assert late.corrections(late.partials(messages(spark, []))).count() == 0
+
+
+def test_deliveries_with_repeats_split_orders_and_refusals(spark):
+    """Two deliveries, each from its own raw rows, give what both give at once."""
+    t, one = D(2020, 1, 5, 10), Decimal(1)
+    first = [
+        ("a", t, D(2020, 1, 5, 10, 5), "o1", 2, Decimal(3)),
+        ("b", t, D(2020, 1, 5, 11), "o2", 1, one),
+        ("n", t, None, "o5", 9, one),
+        ("old", D(2020, 1, 1, 10), D(2020, 1, 5, 12), "o4", 1, one),
+    ]
+    second = [
+        ("a", t, D(2020, 1, 6, 9), "o1", 2, Decimal(3)),  # a repeat
+        ("b", D(2020, 1, 6, 8), D(2020, 1, 6, 9), "o2", 1, one),  # a repeat that claims another day
+        ("c", t, D(2020, 1, 6, 9), "o1", 4, Decimal(2)),  # the order's other line
+        ("n", t, D(2020, 1, 6, 9), "o5", 9, one),  # known now
+        ("old", D(2020, 1, 1, 10), D(2020, 1, 6, 9), "o4", 1, one),  # refused before
+        ("over", D(2020, 1, 3, 10), D(2020, 1, 6, 9), "o6", 1, one),
+    ]
+    books, refused = late.merge_delivery(None, messages(spark, first))
+    assert {r.message for r in refused.collect()} == {"old"}
+    books, refused = late.merge_delivery(books, messages(spark, second))
+    assert {r.message for r in refused.collect()} == {"over"}
+    whole = late.combine(late.partials(messages(spark, first + second))).collect()
+    assert late.combine(books.store).collect() == whole
+    assert [(r.orders, r.lines, r.units) for r in whole] == [(3, 4, 16)]
+
+
+def test_delivery_refuses_closed_period_and_sees_other_messages(spark):
+    t = D(2020, 1, 5, 10)
+    books, _ = late.merge_delivery(None, messages(spark, [("a", t, t, "o1", 1, None), ("view", t, t, None, 1, None)]), F.col("order_id").isNotNull())
+    again = [("view", t, D(2020, 1, 6), "o2", 1, None), ("z", t, D(2020, 1, 6), "o3", 1, None)]
+    books, refused = late.merge_delivery(books, messages(spark, again), F.col("order_id").isNotNull(), F.lit(t).cast("date"))
+    assert [r.message for r in refused.collect()] == ["z"] and books.orders.count() == 0
+    assert [(r.orders, r.lines) for r in late.combine(books.store).collect()] == [(1, 1)]
+
+
+def test_registered_deliveries_count_split_repeats_and_orders_once(spark, tmp_path):
+    from tidemill.plans import problems
+
+    ids = [f"5021dc2f-001f-4627-a4be-0b543624c79{n}" for n in range(3)]
+    e = D(2015, 2, 14, 20)
+    rows = [
+        (ids[0], "purchase", "o1", 1, Decimal(2), e, D(2015, 2, 14, 21)),
+        (ids[0], "purchase", "o1", 1, Decimal(2), e, D(2015, 2, 15, 9)),
+        (ids[1], "purchase", "o1", 3, Decimal(1), e, D(2015, 2, 15, 9)),
+        (ids[2], "purchase", "o2", 1, Decimal(1), D(2015, 2, 10), D(2015, 2, 15, 9)),
+    ]
+    ddl = "event_id string, event_type string, order_id string, quantity int, price decimal(12,2), event_timestamp timestamp_ntz, ingestion_timestamp timestamp_ntz"
+    spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / "silver_events.parquet"))
+    got = problems.p2_incremental_orders(spark, str(tmp_path)).collect()
+    assert [(r.orders, r.units, float(r.revenue), r.late_lines) for r in got] == [(1, 4, 5.0, 2)]
+    assert [r.refused_lines for r in problems.p2_incremental_refused(spark, str(tmp_path)).collect()] == [1]

@@ -9,15 +9,23 @@ Defined results: a message without event time or without arrival time has no per
 arrivals before their event (clocks that run ahead) are on time; of several rows with the same first arrival the one
 with the smallest event time counts; an order counts once, in the batch in which its first line arrived; null
 quantities and prices add nothing; an empty table gives no rows.
+
+Deliveries are merged in the order of their arrival times, each from its own raw rows (merge_delivery). Beside the store
+lie the messages and the (period, order) keys of earlier deliveries, so a message repeated in a later delivery adds
+nothing and an order whose lines come in two deliveries counts once. Messages are never forgotten: a repeat may come
+after the cut-off, or with another event time. Order keys of closed periods are dropped: nothing is accepted there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.session import materialize
+
 GRACE = "INTERVAL 30 MINUTES"
 CUTOFF = "INTERVAL 48 HOURS"
 
@@ -51,8 +59,13 @@ def first_arrivals(
     return out.withColumn("status", lateness(F.col("event_time"), F.col("arrival_time"), grace, cutoff))
 
 
-def partials(contributions: DataFrame, order: str = "order_id", units: str = "quantity", price: str = "price", batch: str = "hour") -> DataFrame:
-    """The store: one row per period (day of event time) and arrival batch (hour by default) of accepted contributions."""
+def partials(
+    contributions: DataFrame, order: str = "order_id", units: str = "quantity", price: str = "price", batch: str = "hour", counted: DataFrame | None = None
+) -> DataFrame:
+    """The store: one row per period (day of event time) and arrival batch (hour by default) of accepted contributions.
+
+    Orders whose keys (period, order_key) are in counted were counted by an earlier delivery and aren't counted again.
+    """
     accepted = contributions.where(F.col("status").isin("on_time", "late")).select(
         F.to_date("event_time").alias("period"),
         F.date_trunc(batch, "arrival_time").cast("timestamp_ntz").alias("arrival_batch"),
@@ -64,6 +77,8 @@ def partials(contributions: DataFrame, order: str = "order_id", units: str = "qu
     )
     # an order is counted in the batch of its first line: that makes a distinct count a sum
     per_order = accepted.groupBy("period", "order_key").agg(F.min("arrival_batch").alias("arrival_batch"))
+    if counted is not None:
+        per_order = per_order.join(counted, ["period", "order_key"], "left_anti")
     new_orders = per_order.where(F.col("order_key").isNotNull()).groupBy("period", "arrival_batch").agg(F.count(F.lit(1)).alias("orders"))
     sums = accepted.groupBy("period", "arrival_batch").agg(
         F.count(F.lit(1)).alias("lines"),
@@ -103,8 +118,8 @@ def corrections(store: DataFrame) -> DataFrame:
 def merge_batch(store: DataFrame, arriving: DataFrame, closed_through: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Incremental merge of new partials. Returns the new store and the refused partials (periods up to closed_through).
 
-    Partials add up, so merging batches one by one, in any order, equals aggregating everything at once as long as an
-    order's lines lie in one batch or their orders count is corrected by the caller.
+    Partials add up, so merging batches one by one, in any order, equals aggregating everything at once as long as no
+    message and no order lies in two batches. merge_delivery takes care of those that do.
     """
     refuse = F.lit(False) if closed_through is None else F.coalesce(F.col("period") <= closed_through, F.lit(False))
     merged = (
@@ -117,3 +132,38 @@ def merge_batch(store: DataFrame, arriving: DataFrame, closed_through: Column |
         )
     )
     return merged, arriving.where(refuse)
+
+
+class Books(NamedTuple):
+    """What is kept between deliveries: the store, the messages seen, and the (period, order_key) counted."""
+
+    store: DataFrame
+    messages: DataFrame
+    orders: DataFrame
+
+
+def merge_delivery(
+    books: Books | None, delivered: DataFrame, only: Column | None = None, closed_through: Column | None = None, order: str = "order_id", units: str = "quantity", price: str = "price"
+) -> tuple[Books, DataFrame]:
+    """Merge one delivery, given as the first arrivals of its own raw rows. Returns the new books and the refused contributions.
+
+    Messages of earlier deliveries add nothing, whatever they say now. A message without arrival time is not yet seen: a
+    later delivery may know it. Of the new messages those that match only are contributions; the others are still seen.
+    """
+    fresh = delivered if books is None else delivered.join(books.messages, "message", "left_anti")
+    fresh = materialize(fresh)
+    wanted = fresh if only is None else fresh.where(only)
+    period = F.to_date("event_time")
+    closed = F.lit(False) if closed_through is None else F.coalesce(period <= closed_through, F.lit(False))
+    refuse = (F.col("status") == "refused") | (F.col("status").isin("on_time", "late") & closed)
+    accepted = wanted.where(~refuse)
+    adds = partials(accepted, order, units, price, counted=None if books is None else books.orders)
+    keys = (
+        accepted.where(F.col("status").isin("on_time", "late") & F.col(order).isNotNull()).select(period.alias("period"), F.col(order).alias("order_key")).distinct()
+    )
+    seen = fresh.where(F.col("arrival_time").isNotNull()).select("message")
+    if books is None:
+        return Books(adds, seen, keys), wanted.where(refuse)
+    known = books.orders if closed_through is None else books.orders.where(~F.coalesce(F.col("period") <= closed_through, F.lit(False)))
+    store, _ = merge_batch(books.store, adds)
+    return Books(store, books.messages.unionByName(seen), known.unionByName(keys).distinct()), wanted.where(refuse)

@@ -78,18 +78,42 @@ def p2_corrections(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def p2_incremental(spark: SparkSession, sf: str) -> DataFrame:
-    """The same sums from two deliveries merged one after the other; periods beyond the cut-off are closed by then."""
-    bought = _messages(spark, sf, ("event_type", "order_id", "quantity", "price")).where(F.col("event_type") == "purchase")
+def _deliveries(spark: SparkSession, sf: str) -> tuple[late.Books, DataFrame]:
+    """Two deliveries, each from its own raw rows, merged one after the other; periods beyond the cut-off are closed by then."""
+    events = load(spark, sf, "silver_events")
     second = F.lit("2015-02-15 00:00:00").cast("timestamp_ntz")
-    early, arriving = (late.partials(bought.where(c)) for c in (F.col("arrival_time") < second, F.col("arrival_time") >= second))
+    is_second = F.coalesce(F.col("ingestion_timestamp") >= second, F.lit(False))
     closed = F.date_sub(F.to_date(second - F.expr(late.CUTOFF)), 1)
-    merged, _ = late.merge_batch(early, arriving, closed)
-    return late.combine(merged).select(
-        F.col("period").alias("order_date"), F.col("units").cast("long").alias("units"), F.col("revenue").cast("decimal(18,2)").alias("revenue"), F.col("late_lines").cast("long").alias("late_lines")
+    books, refused = None, None
+    for rows, through in ((events.where(~is_second), None), (events.where(is_second), closed)):
+        got = late.first_arrivals(rows, uuid_bytes(F.col("event_id")), "event_timestamp", "ingestion_timestamp", ("event_type", "order_id", "quantity", "price"))
+        books, out = late.merge_delivery(books, got, F.col("event_type") == "purchase", through)
+        refused = out if refused is None else refused.unionByName(out)
+    return books, refused
+
+
+def p2_incremental_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily figures from two deliveries merged one after the other, the number of orders included."""
+    return late.combine(_deliveries(spark, sf)[0].store).select(
+        F.col("period").alias("order_date"),
+        F.col("orders").cast("long").alias("orders"),
+        F.col("units").cast("long").alias("units"),
+        F.col("revenue").cast("decimal(18,2)").alias("revenue"),
+        F.col("late_lines").cast("long").alias("late_lines"),
     )
 
 
+def p2_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """The sums of p2_incremental_orders; its columns are fixed by its SQL."""
+    return p2_incremental_orders(spark, sf).drop("orders")
+
+
+def p2_incremental_refused(spark: SparkSession, sf: str) -> DataFrame:
+    """Purchases that the two deliveries refused, per day of the event."""
+    refused = _deliveries(spark, sf)[1]
+    return refused.groupBy(F.to_date("event_time").alias("order_date")).agg(F.count(F.lit(1)).alias("refused_lines"))
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -238,7 +262,7 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_summary, p2_found, p2_daily, p2_corrections, p2_incremental, p3_found, p3_country_figures, p4_found, p4_silver_once, p4_bronze_once,
+        p1_found, p1_summary, p2_found, p2_daily, p2_corrections, p2_incremental, p2_incremental_orders, p2_incremental_refused, p3_found, p3_country_figures, p4_found, p4_silver_once, p4_bronze_once,
         p5_found, p5_product_history, p5_price_history, p5_ledger, p6_found, p6_rejected, p6_error_types, p6_invoices, p6_events, p7_found, p7_report,
     )
 }
