@@ -123,6 +123,21 @@ def test_archive_to_entities(spark, tmp_path):
         landing.invoice_lines(landing.archives(spark, str(tmp_path))).count()
 
 
+def test_archive_outside_size_gate_is_rejected(spark, tmp_path):
+    archive(tmp_path / "a.zip", [INVOICE_FIELDS, ("1", "A", "x", "2", "2010-12-01 08:26:00", "1.5", None, "X")])
+    size = (tmp_path / "a.zip").stat().st_size
+    assert landing.invoice_lines(landing.archives(spark, str(tmp_path), size)).count() == 1
+    (tmp_path / "a.zip").rename(tmp_path / "a b%20.zip")
+    assert landing.archives(spark, str(tmp_path)).count() == 1
+    (tmp_path / "a b%20.zip").rename(tmp_path / "a.zip")
+    with pytest.raises(landing.RejectedArchive, match=f"a.zip: size is {size}"):
+        landing.archives(spark, str(tmp_path), size - 1)
+    (tmp_path / "other.txt").touch()
+    (tmp_path / "b c%20.zip").touch()
+    with pytest.raises(landing.RejectedArchive, match="bytes: [^;]*b c%20.zip: size is 0$"):
+        landing.archives(spark, str(tmp_path))
+
+
 def test_text_files(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("\ufeff".encode() + (",".join(INVOICE_FIELDS) + '\n1,A,"x, ""y""\nz",1,d,1,,X\n').encode())
     row = landing.csv_lines(spark, str(tmp_path / "a.csv")).first()

@@ -33,9 +33,16 @@ def csv_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archives(spark: SparkSession, path: str, most_bytes: int = 1 << 30) -> DataFrame:
-    """path, length, sha256 and content of ZIP files; files over the limit aren't read."""
+    """path, length, sha256 and content of ZIP files. An empty one or one over the limit raises RejectedArchive before any is read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    return found.where((F.col("length") > 0) & (F.col("length") <= most_bytes)).select("path", "length", F.sha2("content", 256).alias("sha256"), "content")
+    # names and lengths come from the listing: no content is read here. Spark lists empty files but never scans them
+    jvm = spark.sparkContext._jvm
+    sizes = {jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name)).toString(): 0 for name in found.inputFiles()}
+    sizes |= {r.path: r.length for r in found.select("path", "length").collect()}
+    wrong = [f"{name}: size is {size}" for name, size in sorted(sizes.items()) if not 0 < size <= most_bytes]
+    if wrong:
+        raise RejectedArchive(f"not 1 to {most_bytes} bytes: {'; '.join(wrong)}")
+    return found.select("path", "length", F.sha2("content", 256).alias("sha256"), "content")
 
 
 def _sheet_rows(content: bytes) -> Iterator[list[str | None]]:
