@@ -60,3 +60,21 @@ def test_empty_and_clash(spark, tmp_path):
 def test_dedupe_rows_ties(spark):
     frame = spark.createDataFrame([("a", 1, "y"), ("a", 1, "x"), ("b", None, "z")], "k string, at int, v string")
     assert sorted((r.k, r.v) for r in dedup.dedupe_rows(frame, ["k"], [F.col("at")]).collect()) == [("a", "x"), ("b", "z")]
+
+
+@pytest.mark.parametrize("most", [64 << 20, 5000])
+def test_marked_messages(spark, tmp_path, most):
+    rows = [(f"m{i % 700}" if i % 9 else "hot", i, f"p{i}", "b") for i in range(1000)] + [(None, 5000, "kept", None), (None, 5001, "kept", None)]
+    write(spark, str(tmp_path / "t"), rows, 3)
+    ids = [r[0] for r in rows if r[0]]
+    got = [r.message for r in dedup.marked_messages(spark, str(tmp_path / "t"), lambda f: f["id"], ("at",), most).collect()]
+    assert sorted(got) == sorted({k for k in ids if ids.count(k) > 1})
+
+
+def test_p4_found_reads_deletion_vectors(spark, tables, monkeypatch):
+    from tidemill.plans import problems
+
+    built = []
+    real = dedup.deletion_vectors
+    monkeypatch.setattr(dedup, "deletion_vectors", lambda narrow: built.append(1) or real(narrow).limit(0))
+    assert problems.p4_found(spark, tables).count() == 0 and len(built) == 2

@@ -74,20 +74,44 @@ def keep_first(
     most_broadcast_bytes: int = 64 << 20,
 ) -> DataFrame:
     """All columns of a Parquet table with one row per message."""
+    return _by_vectors(spark, path, identifier, order, most_broadcast_bytes, _without)
+
+
+def marked_messages(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    identifier: Callable[[DataFrame], Column],
+    order: Sequence[str] = (),
+    most_broadcast_bytes: int = 64 << 20,
+) -> DataFrame:
+    """The messages of a Parquet table of which keep_first leaves out rows: message, once each."""
+    rows = _by_vectors(spark, path, identifier, order, most_broadcast_bytes, lambda source, vectors: _marked(source, vectors, identifier(source)))
+    return rows.distinct()
+
+
+def _by_vectors(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    identifier: Callable[[DataFrame], Column],
+    order: Sequence[str],
+    most_broadcast_bytes: int,
+    use: Callable[[DataFrame, DataFrame], DataFrame],
+) -> DataFrame:
+    """Build the deletion vectors of a table and use them group by group."""
     paths = [path] if isinstance(path, str) else list(path)
     source = prepare(spark).read.parquet(*paths)
     vectors = materialize(deletion_vectors(positions(source, identifier(source), order)))
     n = vectors.count()
     parts = max(1, min(n, -(-n * _BITMAP_BYTES // most_broadcast_bytes)))
     if parts == 1:
-        return _without(source, vectors)
+        return use(source, vectors)
     out = None
     for group in range(parts):
         # by file: the scan of a group opens its own files only
         mine = F.pmod(F.xxhash64("_metadata.file_path"), F.lit(parts)) == group
         vector_group = F.pmod(F.col("__file"), F.lit(parts)) == group
-        kept = _without(source.where(mine), vectors.where(vector_group))
-        out = kept if out is None else out.unionAll(kept)
+        got = use(source.where(mine), vectors.where(vector_group))
+        out = got if out is None else out.unionAll(got)
     return out
 
 
@@ -106,6 +130,17 @@ def _without(source: DataFrame, vectors: DataFrame) -> DataFrame:
     return joined.where(F.col(bits).isNull() | ~bit_is_set(F.col(bits), F.col(bit))).select(*(F.col(f"`{c}`") for c in source.columns))
 
 
+def _marked(source: DataFrame, vectors: DataFrame, message: Column) -> DataFrame:
+    spot = F.col("_metadata.row_index")
+    placed = source.select(
+        message.alias("message"),
+        F.xxhash64("_metadata.file_path").alias("__file"),
+        F.bitmap_bucket_number(spot + 1).alias("__bucket"),
+        F.bitmap_bit_position(spot + 1).alias("__bit"),
+    )
+    return placed.join(F.broadcast(vectors), ["__file", "__bucket"]).where(bit_is_set(F.col("__bits"), F.col("__bit"))).select("message")
+
+
 def dedupe_rows(frame: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """For frames that aren't Parquet files: the first row per key under a total order, deterministic on ties.
 

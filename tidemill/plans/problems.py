@@ -151,10 +151,10 @@ def _bronze_id(frame: DataFrame):
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages that lie in two or more rows: those of the rows that the deletion vectors mark."""
     out = None
     for name, key in (("silver_events", _silver_id), ("bronze_events", _bronze_id)):
-        source = load(spark, sf, name)
-        many = dedup.repeated(dedup.positions(source, key(source), ("ingestion_timestamp",)))
+        many = dedup.marked_messages(spark, table_path(sf, name), key, ("ingestion_timestamp",))
         part = many.select(F.lit(name).alias("table_name"), uuid_text(F.col("message")).alias("event_id"))
         out = part if out is None else out.unionAll(part)
     return out
