@@ -91,3 +91,15 @@ def test_from_texts(spark):
     made = mixture.mix(docs, spark.createDataFrame([("a", 1.0, 2)], TARGETS), block_tokens=2)
     rows = made.records.collect()
     assert {r.doc_id for r in rows} == {1} and max(r.use for r in rows) == 2
+
+
+def test_shares_report_what_is_left_out(spark):
+    docs = sized(spark, {"big": 900, "tiny": 20})
+    targets = spark.createDataFrame([("big", 0.9, 1), ("tiny", 0.1, 2), ("absent", 0.1, 5)], TARGETS)
+    made = mixture.mix(docs, targets, docs, block_tokens=256)
+    used = {(r.source, r.doc_id) for r in made.records.collect()}
+    left = Counter()
+    for r in docs.collect():
+        left[r.source] += r.n_tokens * ((r.source, r.doc_id) not in used)
+    got = {r.source: r.unused_tokens for r in mixture.shares_reached(made).collect()}
+    assert got == {"big": left["big"], "tiny": left["tiny"], "absent": 0} and left["big"] > 40_000

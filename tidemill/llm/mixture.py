@@ -125,10 +125,15 @@ def mix(documents: DataFrame, targets: DataFrame, sized: DataFrame | None = None
 
 
 def shares_reached(made: Mixture) -> DataFrame:
-    """Per target source: target and reached share, tokens and records in the mixture and available, most uses of a record."""
+    """Per target source: target and reached share, tokens and records in the mixture and available, most uses of a record,
+    and the tokens of the records that the mixture leaves out."""
     spark = made.records.sparkSession
     got = made.records.groupBy(F.col("source").alias("__s")).agg(
-        F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("records"), F.max("use").alias("most_uses")
+        F.sum("n_tokens").alias("tokens"),
+        F.count(F.lit(1)).alias("records"),
+        F.max("use").alias("most_uses"),
+        # a record's further uses are rows with a use above 1
+        F.sum(F.when(F.col("use") == 1, F.col("n_tokens"))).alias("__used"),
     )
     rows = [(s.source, s.target, s.weight, s.cap, s.tokens) for s in made.shares]
     asked = spark.createDataFrame(rows, "source string, target_share double, feasible_share double, max_repeats int, available_tokens long")
@@ -144,4 +149,5 @@ def shares_reached(made: Mixture) -> DataFrame:
         F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
         "max_repeats",
         "available_tokens",
+        (F.col("available_tokens") - F.coalesce("__used", F.lit(0))).alias("unused_tokens"),
     )
