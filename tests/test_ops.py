@@ -150,3 +150,13 @@ def test_text_files(spark, tmp_path):
     landing.export_ordered(spark.range(100).repartition(3), str(tmp_path / "sorted"), ["id"])
     files = sorted((tmp_path / "sorted").glob("part-*"))
     assert [json.loads(x)["id"] for f in files for x in f.read_text().splitlines()] == list(range(100))
+
+
+def test_failed_gold_build_commits_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "work")
+    cli.produce(spark, root, 20, "normal", 1)
+    cli.process(spark, root)
+    monkeypatch.setattr(ops, "validate_snapshot", lambda document: ["wrong"])
+    with pytest.raises(ops.Unreconciled):
+        cli.build_gold(spark, root)
+    assert not (tmp_path / "work" / "gold").exists()

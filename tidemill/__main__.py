@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import ops
 from tidemill.plans import gold, kpi
-from tidemill.session import local_session
+from tidemill.session import local_session, materialize
 from tidemill.sources import generator, landing, tail
 from tidemill.streaming import bronze_silver
 
@@ -78,11 +78,15 @@ def build_gold(spark, root: str) -> str:
     items = gold.fact_order_items_from_events(stg)
     orders = gold.fact_orders_from_events(stg)
     sales = gold.daily_sales(orders)
-    for name, frame in (("fact_order_items", items), ("fact_orders", orders), ("daily_sales", sales), ("dim_customer", gold.dim_customer_from_events(stg))):
-        VersionedTable(spark, f"file://{root}/gold/{name}").overwrite(frame)
-    document = ops.snapshot(kpi.summary(orders), sales, kpi.by_country(orders), kpi.by_product(items))
+    marts = {"fact_order_items": items, "fact_orders": orders, "daily_sales": sales, "dim_customer": gold.dim_customer_from_events(stg)}
+    # all are computed and checked before the first commit: a failed build leaves the earlier marts as they were
+    marts = {name: materialize(frame) for name, frame in marts.items()}
+    orders, sales = marts["fact_orders"], marts["daily_sales"]
+    document = ops.snapshot(kpi.summary(orders), sales, kpi.by_country(orders), kpi.by_product(marts["fact_order_items"]))
     if wrong := ops.validate_snapshot(document):
         raise ops.Unreconciled("; ".join(wrong))
+    for name, frame in marts.items():
+        VersionedTable(spark, f"file://{root}/gold/{name}").overwrite(frame)
     ops.write_atomic(f"{root}/snapshot.json", document)
     return document
 
