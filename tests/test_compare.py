@@ -31,6 +31,7 @@ def test_null_keys_empty_tables_and_ambiguous_keys(spark):
     none = rows(spark, [], ddl)
     a = rows(spark, [(None, 1), ("1", 1)], ddl)
     assert got(compare.differences(a, none, "k"), "k") == [("1", "only_in_base"), ("None", "only_in_base")]
+    assert got(compare.differences(rows(spark, [("1", 1), ("1", 2)], ddl), none, "k"), "k") == [("1", "distinct_rows"), ("1", "only_in_base")]
     assert got(compare.differences(none, none, "k"), "k") == []
     assert got(compare.differences(a, rows(spark, [(None, 2), ("1", 1)], ddl), "k"), "k") == [("None", "v")]
     many = rows(spark, [("1", 1), ("1", 2)], ddl)

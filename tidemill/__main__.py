@@ -60,7 +60,7 @@ def process(spark, root: str) -> dict:
         ledger.move(run_id, ops.COMMITTED, now, **counts)
         ledger.move(run_id, ops.SUCCESS, datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None), **counts)
     except Exception as e:
-        ledger.move(run_id, ops.FAILED, now, str(e)[:500])
+        ledger.move(run_id, ops.FAILED, now, str(e))
         raise
     run = {"run_id": run_id, "status": ops.SUCCESS, **counts}
     found = [r.asDict() for r in kpi.alerts(kpi.run_rates(ledger.read().where(F.col("run_id") == run_id))).collect()]

@@ -8,8 +8,8 @@ Defined results:
 
 * numbers compare by value whatever their width and scale, two nulls are equal, null keys are a key of their own;
 * repeats of one row are no difference (``repeats=True`` reports counts that differ as field ``row_count``);
-* a key whose residue has several rows on one side is compared by the smallest row of either side and also
-  reported as field ``distinct_rows``; no row is lost silently and no group of rows is gathered in one task;
+* a key whose residue has several different rows on a side is compared by the smallest row of either side (if both
+  have any) and also reported as field ``distinct_rows``, also where the other side has none; no row is lost silently and no group of rows is gathered in one task;
 * columns that only one copy has are not compared; see ``columns_apart``;
 * two empty tables give no rows; an empty copy makes every key ``only_in_base``.
 """
@@ -126,7 +126,7 @@ def differences(base: DataFrame, copy: DataFrame, key: str | Sequence[str], repe
         entry("only_in_base", none, none, left & ~right & ~again),
         entry("only_in_copy", none, none, right & ~left & ~again),
         entry("row_count", F.col("rows_base"), F.col("rows_copy"), again),
-        entry("distinct_rows", F.col("rows_base"), F.col("rows_copy"), left & right & ((F.col("rows_base") > 1) | (F.col("rows_copy") > 1))),
+        entry("distinct_rows", F.col("rows_base"), F.col("rows_copy"), F.coalesce(F.greatest("rows_base", "rows_copy") > 1, F.lit(False))),
     ]
     for f in fields:
         b, c = F.col("row_base")[at[f]], F.col("row_copy")[at[f]]

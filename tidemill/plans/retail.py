@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import contract
+from tidemill.functions.identifiers import uuid_bytes
 from tidemill.operators import dedup, history, quality
 from tidemill.plans import contract_sql, gold, kpi
 from tidemill.plans.problems_sql import _uuid
@@ -252,11 +253,11 @@ def ingest_latency(spark, sf):
     return kpi.latency(load(spark, sf, "bronze_events"), "kafka_timestamp", "ingestion_timestamp")
 
 
-@query("SELECT count(*) AS rows_, count(DISTINCT lower(replace(event_id, '-', ''))) AS events, count(DISTINCT customer_id) AS customers, count(DISTINCT order_id) AS orders FROM silver_events")
+@query(f"SELECT count(*) AS rows_, count(DISTINCT {_uuid('event_id')}) AS events, count(DISTINCT customer_id) AS customers, count(DISTINCT order_id) AS orders FROM silver_events")
 def distinct_keys(spark, sf):
     e = load(spark, sf, "silver_events")
     return e.agg(
-        F.count(F.lit(1)).alias("rows_"), F.countDistinct(F.lower(F.translate("event_id", "-", ""))).alias("events"), F.countDistinct("customer_id").alias("customers"), F.countDistinct("order_id").alias("orders")
+        F.count(F.lit(1)).alias("rows_"), F.countDistinct(uuid_bytes(F.col("event_id"))).alias("events"), F.countDistinct("customer_id").alias("customers"), F.countDistinct("order_id").alias("orders")
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -53,13 +54,20 @@ def local_session(app: str = "tidemill", cores: str = "*", shuffle: int = 8) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session.
+    """The folder all executors share: spark.checkpoint.dir of the session, or another one given to setCheckpointDir.
 
-    Only where it is unset (tests on one machine) is a temporary folder made, which is removed at exit.
+    Only where neither is set and all runs on one machine (tests) is a temporary folder made, which is removed at exit;
+    on a cluster that is an error, since executors would write to their own disks.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    named, given = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.getCheckpointDir()
+    plain = lambda path: re.sub("^file:/*", "/", path)
+    # Spark makes a folder of its own below the named one; a folder elsewhere was given by hand
+    found = named if named and (not given or plain(given).startswith(plain(named))) else given
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^]]*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _TEMPORARY:
         _TEMPORARY[app] = tempfile.mkdtemp(prefix="tidemill-")
