@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import pytest
 
 from tests.test_contract import raw
@@ -32,7 +34,30 @@ def test_csv(spark, text, error):
 
 def test_values_come_out(spark):
     [(_, invoice, _)] = kinds(spark, [("csv", OK)])
-    assert invoice.Description == 'A "big" one, really' and invoice.Quantity == 6 and str(invoice.UnitPrice) == "2.550000"
+    assert invoice.Description == 'A "big" one, really' and invoice.Quantity == 6 and invoice.UnitPrice == "2.55" and invoice.UnitPriceValue == Decimal("2.55")
+
+
+def test_no_price_is_lost(spark):
+    """Prices beyond any decimal type, of many digits and with an exponent load as they stand."""
+    prices = ["1e20", "1234567890123.5", "0.1234567", "1e400", "." + "3" * 60, "-0.0"]
+    got = kinds(spark, [("csv", f"a,b,c,1,2010-12-01 08:26:00,{p},,") for p in prices])
+    assert [g[0] for g in got] == [None] * len(prices) and [g[1].UnitPrice for g in got] == prices
+    value = [g[1].UnitPriceValue for g in got]
+    assert value[1:3] == [Decimal("1234567890123.5"), Decimal("0.1234567")] and value[3] is None and value[4] == Decimal("0." + "3" * 18)
+
+
+def test_many_commas(spark):
+    """More commas than the reader has room for: quoted they load, bare they don't."""
+    commas = "," * 50_000
+    got = kinds(spark, [("csv", f'a,b,"{commas}",1,2010-12-01 08:26:00,1,,'), ("csv", f'a,b,"{commas},1,2010-12-01 08:26:00,1,,'), ("csv", commas)])
+    assert [g[0] for g in got] == [None, "BROKEN_QUOTING", "COLUMN_COUNT"] and got[0][1].Description == commas
+
+
+def test_what_the_reader_forgives(spark):
+    """Text behind a JSON value, single quotes and trailing commas fail; blanks around a value and any field order don't."""
+    good = raw()
+    got = kinds(spark, [("json", good + " x"), ("json", good.replace('"', "'")), ("json", good[:-1] + ",}"), ("json", f" {good}\n"), ("json", good + good), ("json", "[" + good + "]")])
+    assert [g[0] for g in got] == ["MALFORMED_JSON"] * 3 + [None] + ["MALFORMED_JSON"] * 2
 
 
 def test_json_and_formats(spark):

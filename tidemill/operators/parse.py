@@ -1,13 +1,18 @@
 """Rows that fail to parse, with the reason, beside the rows that load.
 
-Records are read permissively under an explicit schema that keeps the raw text. Corrupt ones are then reclassified:
-quoting first, then the number of fields, then the cast of each field. The reader alone is too lenient (it closes open
-quotes and takes quotes inside a field), so the quoting check is a grammar over the raw text, without backtracking.
+Every csv and json record is read permissively under an explicit schema that retains the raw text of corrupt ones.
+Corrupt csv records, those with a field that can't be cast, and those where the reader is lenient (it closes open
+quotes and takes quotes and line breaks inside a field, so any record with one of these characters) are reclassified:
+quoting first, by a grammar over the raw text without backtracking, then the number of fields, then the casts. Records
+without any of these load as read. Corrupt json records fail as MALFORMED_JSON; the others are held against the event
+contract, which also rules out what the reader forgives.
 
 Defined results: a null or empty record fails as EMPTY_RECORD; a format other than csv and json fails as
 UNKNOWN_FORMAT; surrounding blanks make a number invalid; a field may hold line breaks inside quotes; very long
-records are classified like others. An empty table gives no rows. Columns of the input keep their names; error_type,
-error_message, loaded_invoice and loaded_event replace existing columns of these names.
+records are classified like others. UnitPrice keeps its exact text, however large or fine; UnitPriceValue is the same
+as decimal(38,18), null where its whole part has more than 20 digits and rounded half up beyond 18 places. An empty
+table gives no rows. Columns of the input keep their names; error_type, error_message, loaded_invoice and loaded_event
+replace existing columns of these names.
 """
 
 from __future__ import annotations
@@ -26,6 +31,9 @@ EMPTY_RECORD, UNKNOWN_FORMAT, MALFORMED_JSON = "EMPTY_RECORD", "UNKNOWN_FORMAT",
 _FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",\r\n]*+)'
 _RECORD = rf"\A{_FIELD}(?:,{_FIELD})*+\z"
 _CSV_SCHEMA = ", ".join(f"{c} STRING" for c in INVOICE_FIELDS) + ", __corrupt STRING"
+_JSON_SCHEMA = ", ".join(f"{c} STRING" for c in contract.FIELDS) + ", __corrupt STRING"
+#: Fields that the reader has room for; a record with more commas is read only once the grammar finds eight fields in it.
+_MOST_FIELDS = 20_000
 
 
 def csv_fields(raw: Column) -> Column:
@@ -35,10 +43,14 @@ def csv_fields(raw: Column) -> Column:
 
 
 def csv_struct(raw: Column) -> Column:
-    """The eight fields as texts, read permissively; records that differ in number of fields keep __corrupt."""
-    return F.from_csv(
-        raw, _CSV_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt", "quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "nullValue": "\u0000", "emptyValue": ""}
-    )
+    """The eight fields as texts, read permissively; records in which the reader finds another number keep __corrupt."""
+    options = {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "maxColumns": str(_MOST_FIELDS + 10), "nullValue": "\u0000", "emptyValue": ""}
+    return F.from_csv(raw, _CSV_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"} | options)
+
+
+def json_corrupt(raw: Column) -> Column:
+    """The raw text of a record that the permissive reader can't take for a JSON object of the event's fields, else null."""
+    return F.from_json(raw, _JSON_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"})["__corrupt"]
 
 
 def invoice_reasons(rec: Column) -> Column:
@@ -65,33 +77,38 @@ def classify_records(records: DataFrame, payload: str = "raw_payload", record_fo
     empty = raw.isNull() | (raw == "")
     kept = [c for c in records.columns if c not in ("error_type", "error_message", "loaded_invoice", "loaded_event")]
     source = records.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{payload}`").alias(f"{h}payload"), F.col(f"`{record_format}`").alias(f"{h}kind"))
-    sound = F.coalesce((kind == "csv") & ~empty & raw.rlike(_RECORD), F.lit(False))
-    eight = sound & (csv_fields(raw) == len(INVOICE_FIELDS))
-    read = source.select("*", sound.alias(f"{h}sound"), eight.alias(f"{h}eight")).withColumn(
-        f"{h}rec", csv_struct(F.when(F.col(f"{h}eight"), raw))
-    )
-    json_only = F.when(kind == "json", raw)
-    read = read.withColumn(f"{h}json", json_only).withColumn(f"{h}why_csv", F.when(F.col(f"{h}eight"), invoice_reasons(F.col(f"{h}rec"))))
+    is_csv = F.coalesce((kind == "csv") & ~empty, F.lit(False))
+    fits = (F.length(raw) - F.length(F.translate(raw, ",", "")) < _MOST_FIELDS) | (raw.rlike(_RECORD) & (csv_fields(raw) == len(INVOICE_FIELDS)))
+    rec = F.col(f"{h}rec")
+    read = source.withColumn(f"{h}rec", csv_struct(F.when(is_csv & fits, raw)))
+    read = read.withColumn(f"{h}why_csv", F.when(rec.isNotNull(), invoice_reasons(rec)))
+    # corrupt, not read at all, not castable, or with a character that the reader is lenient about
+    doubtful = rec.isNull() | rec["__corrupt"].isNotNull() | (F.size(f"{h}why_csv") > 0) | raw.rlike('["\r\n]')
+    read = read.withColumn(f"{h}doubt", is_csv & F.coalesce(doubtful, F.lit(True)))
+    doubt, sound, eight = F.col(f"{h}doubt"), F.col(f"{h}sound"), F.col(f"{h}eight")
+    read = read.withColumn(f"{h}sound", F.when(doubt, raw.rlike(_RECORD)))
+    read = read.withColumn(f"{h}eight", F.when(sound, csv_fields(raw) == len(INVOICE_FIELDS)))
+    json_only = F.when((kind == "json") & ~empty, raw)
+    read = read.withColumn(f"{h}json", json_only).withColumn(f"{h}corrupt", json_corrupt(json_only))
     read = contract.parse_events(read, f"{h}json", f"{h}event")
     event = F.col(f"{h}event")
-    csv_bad = (
-        F.when(~F.col(f"{h}sound"), BROKEN_QUOTING).when(~F.col(f"{h}eight") | F.col(f"{h}rec")["__corrupt"].isNotNull(), COLUMN_COUNT).when(F.size(f"{h}why_csv") > 0, INVALID_VALUE)
-    )
+    csv_bad = F.when(doubt, F.when(~sound, BROKEN_QUOTING).when(~eight, COLUMN_COUNT).when(F.size(f"{h}why_csv") > 0, INVALID_VALUE))
     csv_why = (
-        F.when(~F.col(f"{h}sound"), "a quote is open, unpaired or inside a field")
-        .when(~F.col(f"{h}eight"), F.concat(csv_fields(raw).cast("string"), F.lit(" fields instead of 8")))
+        F.when(~sound, "a quote is open, unpaired or inside a field")
+        .when(~eight, F.concat(csv_fields(raw).cast("string"), F.lit(" fields instead of 8")))
         .otherwise(F.array_join(f"{h}why_csv", "; "))
     )
-    shape = event["error_message"].startswith("payload: not")
+    # the reader's verdict counts where the contract finds fault too; a record that meets the contract loads
+    shape = event["error_message"].startswith("payload: not") | (event["error_type"].isNotNull() & F.col(f"{h}corrupt").isNotNull())
     json_bad = F.when(shape, MALFORMED_JSON).otherwise(event["error_type"])
     error = F.when(empty, EMPTY_RECORD).when(kind == "csv", csv_bad).when(kind == "json", json_bad).otherwise(UNKNOWN_FORMAT)
     why = F.when(empty, "nothing to load").when(kind == "csv", F.when(csv_bad.isNotNull(), csv_why)).when(kind == "json", event["error_message"]).otherwise("no loader for this format")
-    rec = F.col(f"{h}rec")
     loaded = F.struct(
         *(rec[c].alias(c) for c in ("InvoiceNo", "StockCode", "Description")),
         rec["Quantity"].try_cast("int").alias("Quantity"),
         rec["InvoiceDate"].try_cast("timestamp_ntz").alias("InvoiceDate"),
-        rec["UnitPrice"].try_cast("decimal(18,6)").alias("UnitPrice"),
+        rec["UnitPrice"].alias("UnitPrice"),
+        rec["UnitPrice"].try_cast("decimal(38,18)").alias("UnitPriceValue"),
         *(rec[c].alias(c) for c in ("CustomerID", "Country")),
     )
     verdict = F.struct(

@@ -65,7 +65,7 @@ ORACLE = {
   WHEN NOT regexp_full_match(raw_payload, '{_F}(,{_F})*') THEN 'BROKEN_QUOTING' WHEN NOT regexp_full_match(raw_payload, '{_RECORD}') THEN 'COLUMN_COUNT' ELSE 'INVALID_VALUE' END
   WHEN j IS NULL OR json_type(j) != 'OBJECT' THEN 'MALFORMED_JSON' ELSE 'SCHEMA_VALIDATION' END AS error_type FROM judged WHERE NOT ok""",
     "p6_invoices": f"""WITH {_QUARANTINE} SELECT record_id, {_VALUE('a')} AS InvoiceNo, {_VALUE('b')} AS StockCode, {_VALUE('c')} AS Description, CAST({_VALUE('q')} AS INTEGER) AS Quantity,
-  CAST({_VALUE('d')} AS TIMESTAMP) AS InvoiceDate, CAST({_VALUE('p')} AS DECIMAL(18,6)) AS UnitPrice, {_VALUE('u')} AS CustomerID, {_VALUE('l')} AS Country FROM judged WHERE ok AND record_format = 'csv'""",
+  CAST({_VALUE('d')} AS TIMESTAMP) AS InvoiceDate, {_VALUE('p')} AS UnitPrice, try_cast({_VALUE('p')} AS DECIMAL(38,18)) AS UnitPriceValue, {_VALUE('u')} AS CustomerID, {_VALUE('l')} AS Country FROM judged WHERE ok AND record_format = 'csv'""",
     "p6_events": f"""WITH {_QUARANTINE} SELECT record_id, {_uuid(_text('event_id'))} AS event_id, {', '.join(f"{_text(c)} AS {c}" for c in ('event_type', 'customer_id', 'product_id', 'order_id'))},
   CAST({_text('quantity')} AS INTEGER) AS quantity, {', '.join(f"{_text(c)} AS {c}" for c in ('price', 'country', 'query'))}, {UTC} AS event_timestamp, 1 AS schema_version
   FROM judged WHERE ok AND record_format = 'json'""",
