@@ -9,20 +9,20 @@ from pyspark.sql import functions as F
 
 from tidemill.llm import encode, lookalike, mixture
 from tidemill.session import materialize
-from tidemill.sources.tables import load, spread
+from tidemill.sources.tables import load
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return encode.encode(spread(load(spark, sf, "documents").select("doc_id", "text")), ["doc_id"])
+    return encode.encode(load(spark, sf, "documents").select("doc_id", "text"), ["doc_id"])
 
 
 def p8_tokens_by_source(spark: SparkSession, sf: str) -> DataFrame:
-    sized = encode.token_counts(spread(load(spark, sf, "documents").select("doc_id", "source", "text")), ["doc_id", "source"])
+    sized = encode.token_counts(load(spark, sf, "documents").select("doc_id", "source", "text"), ["doc_id", "source"])
     return sized.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"))
 
 
 def _mixture(spark: SparkSession, sf: str) -> mixture.Mixture:
-    return mixture.mix(spread(load(spark, sf, "documents").select("doc_id", "source", "text")), load(spark, sf, "mix_targets"))
+    return mixture.mix(load(spark, sf, "documents").select("doc_id", "source", "text"), load(spark, sf, "mix_targets"))
 
 
 def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
@@ -34,15 +34,15 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    return lookalike.pairs(materialize(lookalike.digests(spread(load(spark, sf, "documents").select("doc_id", "text")))))
+    return lookalike.pairs(materialize(lookalike.digests(load(spark, sf, "documents").select("doc_id", "text"))))
 
 
 def p10_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return lookalike.classes(materialize(lookalike.digests(spread(load(spark, sf, "documents").select("doc_id", "text")))))
+    return lookalike.classes(materialize(lookalike.digests(load(spark, sf, "documents").select("doc_id", "text"))))
 
 
 def p10_forms(spark: SparkSession, sf: str) -> DataFrame:
-    return lookalike.forms(spread(load(spark, sf, "documents").select("doc_id", "text")))
+    return lookalike.forms(load(spark, sf, "documents").select("doc_id", "text"))
 
 
 QUERIES = {f.__name__: f for f in (p8_ids, p8_tokens_by_source, p9_mix, p9_shares, p10_found, p10_classes, p10_forms)}
