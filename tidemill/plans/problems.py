@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.identifiers import uuid_bytes, uuid_text
 from tidemill.operators import compare, dedup, history, late, orphans, parse, skew
-from tidemill.sources.tables import load, spread, table_path
+from tidemill.sources.tables import load, table_path
 
 TIME = "yyyy-MM-dd HH:mm:ss"
 
@@ -207,24 +207,24 @@ def p5_ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return parse.rejected(spread(load(spark, sf, "quarantine"))).select("record_id")
+    return parse.rejected(load(spark, sf, "quarantine")).select("record_id")
 
 
 def p6_rejected(spark: SparkSession, sf: str) -> DataFrame:
-    return parse.rejected(spread(load(spark, sf, "quarantine"))).select("record_id", "source_file", "line_number", "raw_payload", "error_type", "error_message")
+    return parse.rejected(load(spark, sf, "quarantine")).select("record_id", "source_file", "line_number", "raw_payload", "error_type", "error_message")
 
 
 def p6_error_types(spark: SparkSession, sf: str) -> DataFrame:
-    return parse.rejected(spread(load(spark, sf, "quarantine"))).select("record_id", "error_type")
+    return parse.rejected(load(spark, sf, "quarantine")).select("record_id", "error_type")
 
 
 def p6_invoices(spark: SparkSession, sf: str) -> DataFrame:
-    good = parse.loaded(spread(load(spark, sf, "quarantine"))).where(F.col("record_format") == "csv")
+    good = parse.loaded(load(spark, sf, "quarantine")).where(F.col("record_format") == "csv")
     return good.select("record_id", "loaded_invoice.*")
 
 
 def p6_events(spark: SparkSession, sf: str) -> DataFrame:
-    good = parse.loaded(spread(load(spark, sf, "quarantine"))).where(F.col("record_format") == "json")
+    good = parse.loaded(load(spark, sf, "quarantine")).where(F.col("record_format") == "json")
     return good.select("record_id", "loaded_event.*")
 
 

@@ -14,17 +14,3 @@ def table_path(folder: str, name: str) -> str:
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Read one table; columns and filters are pushed to the scan by Catalyst."""
     return prepare(spark).read.parquet(table_path(folder, name))
-
-
-def spread(frame: DataFrame) -> DataFrame:
-    """Deal the rows of a small table out to all cores, for work that costs far more than reading.
-
-    A file with one row group is one task however many cores there are. Tables that fill half the cores by themselves
-    are left alone: no large table is ever shuffled here.
-    """
-    spark = frame.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    # the size that the planner knows of the files; nothing is listed again
-    size = int(str(frame._jdf.queryExecution().analyzed().collectLeaves().apply(0).stats().sizeInBytes()))
-    return frame if 2 * -(-size // split) > cores else frame.repartition(cores)
