@@ -10,21 +10,21 @@ arrivals before their event (clocks that run ahead) are on time; of several rows
 with the smallest event time counts; an order counts once, in the batch in which its first line arrived; null
 quantities and prices add nothing; an empty table gives no rows.
 
-Deliveries are merged in the order of their arrival times, each from its own raw rows (merge_delivery). Beside the store
-lie the messages and the (period, order) keys of earlier deliveries, so a message repeated in a later delivery adds
-nothing and an order whose lines come in two deliveries counts once. Messages are never forgotten: a repeat may come
-after the cut-off, or with another event time. Order keys of closed periods are dropped: nothing is accepted there.
+Deliveries are merged in the order of their arrival times, each from its own raw rows, into a store that persists
+(LateStore): partials, the messages seen, the (period, order) keys counted, and the closed periods. So a message
+repeated in a later delivery adds nothing and an order whose lines come in two deliveries counts once. Messages are
+never forgotten: a repeat may come after the cut-off, or with another event time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.session import materialize
+from tidemill.sources.versioned import VersionedTable
 
 GRACE = "INTERVAL 30 MINUTES"
 CUTOFF = "INTERVAL 48 HOURS"
@@ -60,26 +60,28 @@ def first_arrivals(
 
 
 def partials(
-    contributions: DataFrame, order: str = "order_id", units: str = "quantity", price: str = "price", batch: str = "hour", counted: DataFrame | None = None
+    contributions: DataFrame,
+    order: str | None = "order_id",
+    units: str | None = "quantity",
+    price: str | None = "price",
+    batch: str = "hour",
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """The store: one row per period (day of event time) and arrival batch (hour by default) of accepted contributions.
+    """Partial aggregates: one row per period (day of event time) and arrival batch (hour by default) of accepted contributions.
 
     Orders whose keys (period, order_key) are in counted were counted by an earlier delivery and aren't counted again.
+    Without the column of orders, units or prices their figures are 0.
     """
+    number = F.col(units).cast("long") if units else F.lit(0).cast("long")
     accepted = contributions.where(F.col("status").isin("on_time", "late")).select(
         F.to_date("event_time").alias("period"),
         F.date_trunc(batch, "arrival_time").cast("timestamp_ntz").alias("arrival_batch"),
-        F.col(order).alias("order_key"),
-        F.col(units).cast("long").alias("units"),
-        (F.col(units).cast("long") * F.col(price).cast("decimal(12,2)")).cast("decimal(28,2)").alias("revenue"),
+        (F.col(order) if order else F.lit(None).cast("string")).alias("order_key"),
+        number.alias("units"),
+        (number * F.col(price).cast("decimal(12,2)") if price else F.lit(0)).cast("decimal(28,2)").alias("revenue"),
         "arrival_time",
         (F.col("status") == "late").alias("is_late"),
     )
-    # an order is counted in the batch of its first line: that makes a distinct count a sum
-    per_order = accepted.groupBy("period", "order_key").agg(F.min("arrival_batch").alias("arrival_batch"))
-    if counted is not None:
-        per_order = per_order.join(counted, ["period", "order_key"], "left_anti")
-    new_orders = per_order.where(F.col("order_key").isNotNull()).groupBy("period", "arrival_batch").agg(F.count(F.lit(1)).alias("orders"))
     sums = accepted.groupBy("period", "arrival_batch").agg(
         F.count(F.lit(1)).alias("lines"),
         F.count_if("is_late").alias("late_lines"),
@@ -87,6 +89,13 @@ def partials(
         F.coalesce(F.sum("revenue"), F.lit(0)).cast("decimal(38,2)").alias("revenue"),
         F.max("arrival_time").alias("last_arrival"),
     )
+    if not order:
+        return sums.select("period", "arrival_batch", F.lit(0).cast("long").alias("orders"), "lines", "late_lines", "units", "revenue", "last_arrival")
+    # an order is counted in the batch of its first line: that makes a distinct count a sum
+    per_order = accepted.groupBy("period", "order_key").agg(F.min("arrival_batch").alias("arrival_batch"))
+    if counted is not None:
+        per_order = per_order.join(counted, ["period", "order_key"], "left_anti")
+    new_orders = per_order.where(F.col("order_key").isNotNull()).groupBy("period", "arrival_batch").agg(F.count(F.lit(1)).alias("orders"))
     return sums.join(new_orders, ["period", "arrival_batch"], "left").select(
         "period", "arrival_batch", F.coalesce("orders", F.lit(0)).alias("orders"), "lines", "late_lines", "units", "revenue", "last_arrival"
     )
@@ -115,55 +124,112 @@ def corrections(store: DataFrame) -> DataFrame:
     )
 
 
-def merge_batch(store: DataFrame, arriving: DataFrame, closed_through: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Incremental merge of new partials. Returns the new store and the refused partials (periods up to closed_through).
+def _refused(verdict: Column) -> Column:
+    return verdict.isin("refused", "closed")
 
-    Partials add up, so merging batches one by one, in any order, equals aggregating everything at once as long as no
-    message and no order lies in two batches. merge_delivery takes care of those that do.
-    """
-    refuse = F.lit(False) if closed_through is None else F.coalesce(F.col("period") <= closed_through, F.lit(False))
-    merged = (
-        store.unionByName(arriving.where(~refuse))
-        .groupBy("period", "arrival_batch")
-        .agg(
-            *(F.sum(c).alias(c) for c in ("orders", "lines", "late_lines", "units")),
-            F.sum("revenue").cast("decimal(38,2)").alias("revenue"),
-            F.max("last_arrival").alias("last_arrival"),
-        )
-    )
-    return merged, arriving.where(refuse)
-
-
-class Books(NamedTuple):
-    """What is kept between deliveries: the store, the messages seen, and the (period, order_key) counted."""
 
-    store: DataFrame
-    messages: DataFrame
-    orders: DataFrame
+class LateStore:
+    """What persists between deliveries, as versioned tables below one folder.
 
+    * messages: every message seen, with its period, arrival batch and verdict (on_time, late, refused, closed, unwanted);
+    * partials: the mergeable partial aggregates, appended per delivery and added up on read;
+    * orders: the (period, order_key) counted so far;
+    * commits: one row per delivery with the versions of the other tables and the period closed through.
 
-def merge_delivery(
-    books: Books | None, delivered: DataFrame, only: Column | None = None, closed_through: Column | None = None, order: str = "order_id", units: str = "quantity", price: str = "price"
-) -> tuple[Books, DataFrame]:
-    """Merge one delivery, given as the first arrivals of its own raw rows. Returns the new books and the refused contributions.
-
-    Messages of earlier deliveries add nothing, whatever they say now. A message without arrival time is not yet seen: a
-    later delivery may know it. Of the new messages those that match only are contributions; the others are still seen.
+    A delivery is in force once its commit row is. What a crash left in the other tables before that is taken back by
+    the next delivery, and a delivery that is repeated under its name changes nothing.
     """
-    fresh = delivered if books is None else delivered.join(books.messages, "message", "left_anti")
-    fresh = materialize(fresh)
-    wanted = fresh if only is None else fresh.where(only)
-    period = F.to_date("event_time")
-    closed = F.lit(False) if closed_through is None else F.coalesce(period <= closed_through, F.lit(False))
-    refuse = (F.col("status") == "refused") | (F.col("status").isin("on_time", "late") & closed)
-    accepted = wanted.where(~refuse)
-    adds = partials(accepted, order, units, price, counted=None if books is None else books.orders)
-    keys = (
-        accepted.where(F.col("status").isin("on_time", "late") & F.col(order).isNotNull()).select(period.alias("period"), F.col(order).alias("order_key")).distinct()
-    )
-    seen = fresh.where(F.col("arrival_time").isNotNull()).select("message")
-    if books is None:
-        return Books(adds, seen, keys), wanted.where(refuse)
-    known = books.orders if closed_through is None else books.orders.where(~F.coalesce(F.col("period") <= closed_through, F.lit(False)))
-    store, _ = merge_batch(books.store, adds)
-    return Books(store, books.messages.unionByName(seen), known.unionByName(keys).distinct()), wanted.where(refuse)
+
+    _TABLES = ("messages", "partials", "orders")
+    _COMMITS = "delivery string, seq long, messages long, partials long, orders long, closed_through date"
+
+    def __init__(self, spark: SparkSession, path: str):
+        at = lambda n: VersionedTable(spark, f"{path.rstrip('/')}/{n}")
+        self.spark, self.commits = spark, at("commits")
+        self.tables = {n: at(n) for n in self._TABLES}
+
+    def _last(self) -> dict | None:
+        """The newest commit: one row."""
+        if not self.commits.exists():
+            return None
+        row = self.commits.read().orderBy(F.col("seq").desc()).limit(1).first()
+        return row and row.asDict()
+
+    def read(self, name: str) -> DataFrame:
+        """A table as of the newest commit."""
+        last = self._last()
+        if last is None:
+            raise FileNotFoundError("nothing delivered yet")
+        return self.tables[name].read(last[name])
+
+    def figures(self) -> DataFrame:
+        """Combine on read."""
+        return combine(self.read("partials"))
+
+    def late_messages(self) -> DataFrame:
+        """message, event_time, arrival_time, period of late messages in the batches that the store accepted.
+
+        The cells (period, arrival batch) with late lines are at most periods times the hours up to the cut-off.
+        """
+        cells = self.read("partials").where(F.col("late_lines") > 0).select("period", "arrival_batch").distinct()
+        found = self.read("messages").where(F.col("verdict") == "late").join(cells, ["period", "arrival_batch"], "left_semi")
+        return found.select("message", "event_time", "arrival_time", "period")
+
+    def refused_messages(self) -> DataFrame:
+        """message, event_time, arrival_time, period, verdict: beyond the cut-off (refused) or of a closed period (closed)."""
+        return self.read("messages").where(_refused(F.col("verdict"))).select("message", "event_time", "arrival_time", "period", "verdict")
+
+    def deliver(
+        self, name: str, delivered: DataFrame, only: Column | None = None, close_through: Column | None = None,
+        order: str | None = "order_id", units: str | None = "quantity", price: str | None = "price", batch: str = "hour",
+    ) -> None:
+        """Merge one delivery, given as the first arrivals of its own raw rows.
+
+        Messages of earlier deliveries add nothing, whatever they say now; one without arrival time is not yet seen. Of
+        the new messages those that match ``only`` are contributions, the others are seen all the same. Periods up to
+        ``close_through`` are closed once the delivery is in force: later ones find them closed, within the cut-off or not.
+        """
+        last = self._last()
+        if last is not None and self.commits.read().where(F.col("delivery") == name).limit(1).count():
+            return
+        for n, table in self.tables.items():
+            if table.exists() and (last is None or table.versions()[-1] != last[n]):
+                table.restore(last[n] if last else None)
+        closed = last and last["closed_through"]
+        known = delivered.where(F.col("arrival_time").isNotNull())
+        if last is not None:
+            known = self._unseen(known)
+        period = F.to_date("event_time")
+        shut = F.lit(False) if closed is None else F.coalesce(period <= F.lit(closed), F.lit(False))
+        wanted = F.lit(True) if only is None else F.coalesce(only, F.lit(False))
+        verdict = F.when(~wanted, "unwanted").when((F.col("status") != "refused") & (F.col("status") != "undated") & shut, "closed").otherwise(F.col("status"))
+        kept = [c for c in (order, units, price) if c]
+        since = self.tables["messages"].versions()[-1] if self.tables["messages"].exists() else None
+        self.tables["messages"].append(
+            known.select(
+                "message", "event_time", "arrival_time", period.alias("period"), F.date_trunc(batch, "arrival_time").cast("timestamp_ntz").alias("arrival_batch"),
+                verdict.alias("verdict"), *(F.when(verdict.isin("on_time", "late"), F.col(c)).alias(c) for c in kept),
+            )
+        )
+        # the rows just written, so that nothing is worked out twice
+        accepted = self.tables["messages"].added(since).where(F.col("verdict").isin("on_time", "late")).withColumn("status", F.col("verdict"))
+        counted = None if last is None or not order else self.read("orders")
+        self.tables["partials"].append(partials(accepted, order, units, price, batch, counted))
+        if order:
+            keys = accepted.select("period", F.col(order).alias("order_key")).where(F.col("order_key").isNotNull()).distinct()
+            self.tables["orders"].append(keys if counted is None else keys.join(counted, ["period", "order_key"], "left_anti"))
+        else:
+            self.tables["orders"].create(accepted.select("period", F.lit("").alias("order_key")).schema)
+        versions = {n: t.versions()[-1] for n, t in self.tables.items()}
+        through = F.greatest(F.lit(closed).cast("date"), F.lit(None).cast("date") if close_through is None else close_through)
+        row = self.spark.range(1).select(
+            F.lit(name).alias("delivery"), F.lit(last["seq"] + 1 if last else 0).cast("long").alias("seq"), *(F.lit(versions[n]).cast("long").alias(n) for n in self._TABLES), through.alias("closed_through")
+        )
+        self.commits.append(row)
+
+    def _unseen(self, known: DataFrame) -> DataFrame:
+        """Rows of messages that the store lacks. The store's ids are filtered by those that arrive first, so they are
+        shuffled only where the delivery is too large to be sent to them."""
+        known = materialize(known)
+        seen = self.read("messages").select("message").join(known.select("message"), "message", "left_semi")
+        return known.join(seen, "message", "left_anti")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.identifiers import uuid_bytes, uuid_text
 from tidemill.operators import compare, dedup, history, late, orphans, parse, skew
+from tidemill.session import work_path
 from tidemill.sources.tables import load, table_path
 
 TIME = "yyyy-MM-dd HH:mm:ss"
@@ -46,9 +47,15 @@ def _messages(spark: SparkSession, sf: str, carry: tuple[str, ...] = ()) -> Data
     return late.first_arrivals(events, uuid_bytes(F.col("event_id")), "event_timestamp", "ingestion_timestamp", carry)
 
 
+def _late_store(spark: SparkSession) -> late.LateStore:
+    return late.LateStore(spark, work_path(spark, "late"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    accepted = _messages(spark, sf).where(F.col("status") == "late")
-    return accepted.select(uuid_text(F.col("message")).alias("event_id"), day("event_time").alias("event_date"))
+    """Late messages of the batches that a store accepted which took all events as its first delivery."""
+    store = _late_store(spark)
+    store.deliver("all", _messages(spark, sf), order=None, units=None, price=None)
+    return store.late_messages().select(uuid_text(F.col("message")).alias("event_id"), day("period").alias("event_date"))
 
 
 def _store(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,23 +85,30 @@ def p2_corrections(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _deliveries(spark: SparkSession, sf: str) -> tuple[late.Books, DataFrame]:
-    """Two deliveries, each from its own raw rows, merged one after the other; periods beyond the cut-off are closed by then."""
-    events = load(spark, sf, "silver_events")
-    second = F.lit("2015-02-15 00:00:00").cast("timestamp_ntz")
-    is_second = F.coalesce(F.col("ingestion_timestamp") >= second, F.lit(False))
-    closed = F.date_sub(F.to_date(second - F.expr(late.CUTOFF)), 1)
-    books, refused = None, None
-    for rows, through in ((events.where(~is_second), None), (events.where(is_second), closed)):
+#: Where the deliveries of p2_incremental and p2_refused are cut, by ingestion time: at no particular moments.
+CUTS = ("2015-01-06 03:17:41", "2015-01-15 12:07:00", "2015-02-02 00:00:01", "2015-02-10 12:07:00", "2015-02-27 23:59:59")
+
+
+def _delivered(spark: SparkSession, sf: str, close_after: str) -> late.LateStore:
+    """Six deliveries, each from its own raw rows, merged one after the other. With each, the days that ended more than
+    ``close_after`` before its end are closed."""
+    events, store = load(spark, sf, "silver_events"), _late_store(spark)
+    at = F.coalesce(F.col("ingestion_timestamp"), F.lit("0001-01-01").cast("timestamp_ntz"))
+    for n, (begin, end) in enumerate(zip((None, *CUTS), (*CUTS, None), strict=True)):
+        rows = events
+        if begin:
+            rows = rows.where(F.col("ingestion_timestamp") >= F.lit(begin).cast("timestamp_ntz"))
+        if end:
+            rows = rows.where(at < F.lit(end).cast("timestamp_ntz"))
         got = late.first_arrivals(rows, uuid_bytes(F.col("event_id")), "event_timestamp", "ingestion_timestamp", ("event_type", "order_id", "quantity", "price"))
-        books, out = late.merge_delivery(books, got, F.col("event_type") == "purchase", through)
-        refused = out if refused is None else refused.unionByName(out)
-    return books, refused
+        through = end and F.date_sub(F.to_date(F.lit(end).cast("timestamp_ntz") - F.expr(close_after)), 1)
+        store.deliver(f"delivery-{n}", got, F.col("event_type") == "purchase", through if end else None)
+    return store
 
 
-def p2_incremental_orders(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily figures from two deliveries merged one after the other, the number of orders included."""
-    return late.combine(_deliveries(spark, sf)[0].store).select(
+def p2_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily figures from six deliveries merged one after the other; equals p2_daily."""
+    return _delivered(spark, sf, late.CUTOFF).figures().select(
         F.col("period").alias("order_date"),
         F.col("orders").cast("long").alias("orders"),
         F.col("units").cast("long").alias("units"),
@@ -103,15 +117,10 @@ def p2_incremental_orders(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def p2_incremental(spark: SparkSession, sf: str) -> DataFrame:
-    """The sums of p2_incremental_orders; its columns are fixed by its SQL."""
-    return p2_incremental_orders(spark, sf).drop("orders")
-
-
-def p2_incremental_refused(spark: SparkSession, sf: str) -> DataFrame:
-    """Purchases that the two deliveries refused, per day of the event."""
-    refused = _deliveries(spark, sf)[1]
-    return refused.groupBy(F.to_date("event_time").alias("order_date")).agg(F.count(F.lit(1)).alias("refused_lines"))
+def p2_refused(spark: SparkSession, sf: str) -> DataFrame:
+    """Purchases that six deliveries refused, beyond the cut-off or of a day closed already (here 12 hours after its end)."""
+    refused = _delivered(spark, sf, "INTERVAL 12 HOURS").refused_messages()
+    return refused.select(uuid_text(F.col("message")).alias("event_id"), day("period").alias("event_date"), F.col("verdict").alias("reason"))
 
 
 # 3 ------------------------------------------------------------------------------------------------------------------
@@ -262,7 +271,7 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_summary, p2_found, p2_daily, p2_corrections, p2_incremental, p2_incremental_orders, p2_incremental_refused, p3_found, p3_country_figures, p4_found, p4_silver_once, p4_bronze_once,
+        p1_found, p1_summary, p2_found, p2_daily, p2_corrections, p2_incremental, p2_refused, p3_found, p3_country_figures, p4_found, p4_silver_once, p4_bronze_once,
         p5_found, p5_product_history, p5_price_history, p5_ledger, p6_found, p6_rejected, p6_error_types, p6_invoices, p6_events, p7_found, p7_report,
     )
 }

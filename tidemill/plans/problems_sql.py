@@ -76,12 +76,12 @@ ORACLE = {
     "WHERE ingestion_timestamp > event_timestamp + INTERVAL 30 MINUTE AND ingestion_timestamp <= event_timestamp + INTERVAL 48 HOUR",
     "p2_daily": f"WITH {_MESSAGES} SELECT order_date, count(DISTINCT order_id) AS orders, CAST(coalesce(sum(quantity), 0) AS BIGINT) AS units, "
     "CAST(coalesce(sum(quantity * price), 0) AS DECIMAL(18,2)) AS revenue, count(*) FILTER (WHERE is_late) AS late_lines FROM bought GROUP BY order_date",
-    "p2_incremental": f"WITH {_MESSAGES} SELECT order_date, CAST(coalesce(sum(quantity), 0) AS BIGINT) AS units, CAST(coalesce(sum(quantity * price), 0) AS DECIMAL(18,2)) AS revenue, "
-    "count(*) FILTER (WHERE is_late) AS late_lines FROM bought GROUP BY order_date",
-    "p2_incremental_orders": f"WITH {_MESSAGES} SELECT order_date, count(DISTINCT order_id) AS orders, CAST(coalesce(sum(quantity), 0) AS BIGINT) AS units, "
+    "p2_incremental": f"WITH {_MESSAGES} SELECT order_date, count(DISTINCT order_id) AS orders, CAST(coalesce(sum(quantity), 0) AS BIGINT) AS units, "
     "CAST(coalesce(sum(quantity * price), 0) AS DECIMAL(18,2)) AS revenue, count(*) FILTER (WHERE is_late) AS late_lines FROM bought GROUP BY order_date",
-    "p2_incremental_refused": f"WITH {_MESSAGES} SELECT CAST(event_timestamp AS DATE) AS order_date, count(*) AS refused_lines FROM firsts "
-    "WHERE event_type = 'purchase' AND ingestion_timestamp > event_timestamp + INTERVAL 48 HOUR GROUP BY ALL",
+    "p2_refused": f"""WITH {_MESSAGES}, cuts AS (SELECT unnest([TIMESTAMP '2015-01-06 03:17:41', TIMESTAMP '2015-01-15 12:07:00', TIMESTAMP '2015-02-02 00:00:01', TIMESTAMP '2015-02-10 12:07:00',
+  TIMESTAMP '2015-02-27 23:59:59']) AS c), judged AS (SELECT id AS event_id, strftime(event_timestamp, '%Y-%m-%d') AS event_date, CASE WHEN ingestion_timestamp > event_timestamp + INTERVAL 48 HOUR THEN 'refused'
+  WHEN CAST(event_timestamp AS DATE) < (SELECT max(CAST(c - INTERVAL 12 HOUR AS DATE)) FROM cuts WHERE c <= ingestion_timestamp) THEN 'closed' END AS reason FROM firsts WHERE event_type = 'purchase')
+SELECT * FROM judged WHERE reason IS NOT NULL""",
     "p2_corrections": f"""WITH {_MESSAGES}, o AS (SELECT order_date, order_id, min(arrival_batch) AS arrival_batch FROM bought WHERE order_id IS NOT NULL GROUP BY ALL),
 b AS (SELECT order_date, arrival_batch, sum(quantity) AS u, sum(quantity * price) AS r FROM bought GROUP BY ALL),
 c AS (SELECT b.*, (SELECT count(*) FROM o WHERE o.order_date = b.order_date AND o.arrival_batch = b.arrival_batch) AS n FROM b)

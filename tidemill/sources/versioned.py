@@ -98,6 +98,14 @@ class VersionedTable:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*m["files"])
 
+    def added(self, since: int | None) -> DataFrame:
+        """The rows of the files that the newest version lists and version ``since`` (None: none at all) doesn't."""
+        m = self.manifest()
+        before = set() if since is None else set(self.manifest(since)["files"])
+        schema = T.StructType.fromJson(m["schema"])
+        new = [f for f in m["files"] if f not in before]
+        return self.spark.read.schema(schema).parquet(*new) if new else self.spark.createDataFrame([], schema)
+
     def history(self) -> DataFrame:
         rows = [(m["version"], m["operation"], {k: str(v) for k, v in m["metrics"].items()}, len(m["files"])) for m in map(self.manifest, self.versions())]
         return self.spark.createDataFrame(rows, "version long, operation string, metrics map<string,string>, files int")
@@ -121,6 +129,12 @@ class VersionedTable:
             return self.overwrite(frame)
         return self._insert(frame, "APPEND")
 
+    def restore(self, version: int | None) -> None:
+        """A new version with the rows of an earlier one (None: without any)."""
+        now = self.manifest()
+        then = now | {"files": []} if version is None else self.manifest(version)
+        self._commit(now["version"] + 1, "RESTORE", {"inserted": 0, "updated": 0, "deleted": 0}, T.StructType.fromJson(then["schema"]), then["files"])
+
     def _evolved(self, m: dict, frame: DataFrame) -> T.StructType:
         old = T.StructType.fromJson(m["schema"])
         return T.StructType([*old.fields, *(f for f in frame.schema.fields if f.name not in old.names)])
