@@ -87,7 +87,7 @@ def test_deliveries_with_repeats_split_orders_and_refusals(spark, tmp_path):
 def test_delivery_refuses_closed_periods_and_sees_other_messages(spark, tmp_path):
     t, bought = D(2020, 1, 5, 10), F.col("order_id").isNotNull()
     store = late.LateStore(spark, str(tmp_path))
-    store.deliver("1", messages(spark, [("a", t, t, "o1", 1, None), ("view", t, t, None, 1, None)]), bought, F.lit(t).cast("date"))
+    store.deliver("1", messages(spark, [("a", t, t, "o1", 1, None), ("view", t, t, None, 1, None)]), bought, t.date())
     store.deliver("2", messages(spark, [("view", t, D(2020, 1, 6), "o2", 1, None), ("z", t, D(2020, 1, 6), "o3", 1, None)]), bought)
     assert [(r.message, r.verdict) for r in store.refused_messages().collect()] == [("z", "closed")]
     assert [(r.orders, r.lines) for r in store.figures().collect()] == [(1, 1)]
@@ -102,7 +102,7 @@ def test_crash_between_tables_is_taken_back(spark, tmp_path, monkeypatch):
     store.deliver("1", messages(spark, [("a", t, t, "o1", 1, None)]))
     before = store.figures().collect()
     with monkeypatch.context() as m:
-        m.setattr(store.commits, "append", lambda rows: (_ for _ in ()).throw(RuntimeError("crash")))
+        m.setattr(store.commits, "mark", lambda rows: (_ for _ in ()).throw(RuntimeError("crash")))
         try:
             store.deliver("2", messages(spark, [("b", t, t, "o1", 2, None)]))
         except RuntimeError:

@@ -18,6 +18,7 @@ never forgotten: a repeat may come after the cut-off, or with another event time
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -134,14 +135,13 @@ class LateStore:
     * messages: every message seen, with its period, arrival batch and verdict (on_time, late, refused, closed, unwanted);
     * partials: the mergeable partial aggregates, appended per delivery and added up on read;
     * orders: the (period, order_key) counted so far;
-    * commits: one row per delivery with the versions of the other tables and the period closed through.
+    * commits: per delivery the versions of the other tables and the day closed through, in the log of a table without rows.
 
-    A delivery is in force once its commit row is. What a crash left in the other tables before that is taken back by
+    A delivery is in force once its commit is. What a crash left in the other tables before that is taken back by
     the next delivery, and a delivery that is repeated under its name changes nothing.
     """
 
     _TABLES = ("messages", "partials", "orders")
-    _COMMITS = "delivery string, seq long, messages long, partials long, orders long, closed_through date"
 
     def __init__(self, spark: SparkSession, path: str):
         at = lambda n: VersionedTable(spark, f"{path.rstrip('/')}/{n}")
@@ -149,11 +149,8 @@ class LateStore:
         self.tables = {n: at(n) for n in self._TABLES}
 
     def _last(self) -> dict | None:
-        """The newest commit: one row."""
-        if not self.commits.exists():
-            return None
-        row = self.commits.read().orderBy(F.col("seq").desc()).limit(1).first()
-        return row and row.asDict()
+        """The newest commit: versions of the tables, closed_through (text or None), and the names of all deliveries."""
+        return self.commits.manifest()["properties"] if self.commits.exists() else None
 
     def read(self, name: str) -> DataFrame:
         """A table as of the newest commit."""
@@ -180,7 +177,7 @@ class LateStore:
         return self.read("messages").where(_refused(F.col("verdict"))).select("message", "event_time", "arrival_time", "period", "verdict")
 
     def deliver(
-        self, name: str, delivered: DataFrame, only: Column | None = None, close_through: Column | None = None,
+        self, name: str, delivered: DataFrame, only: Column | None = None, close_through: datetime.date | None = None,
         order: str | None = "order_id", units: str | None = "quantity", price: str | None = "price", batch: str = "hour",
     ) -> None:
         """Merge one delivery, given as the first arrivals of its own raw rows.
@@ -190,7 +187,7 @@ class LateStore:
         ``close_through`` are closed once the delivery is in force: later ones find them closed, within the cut-off or not.
         """
         last = self._last()
-        if last is not None and self.commits.read().where(F.col("delivery") == name).limit(1).count():
+        if last is not None and name in last["deliveries"]:
             return
         for n, table in self.tables.items():
             if table.exists() and (last is None or table.versions()[-1] != last[n]):
@@ -200,7 +197,7 @@ class LateStore:
         if last is not None:
             known = self._unseen(known)
         period = F.to_date("event_time")
-        shut = F.lit(False) if closed is None else F.coalesce(period <= F.lit(closed), F.lit(False))
+        shut = F.lit(False) if closed is None else F.coalesce(period <= F.lit(closed).cast("date"), F.lit(False))
         wanted = F.lit(True) if only is None else F.coalesce(only, F.lit(False))
         verdict = F.when(~wanted, "unwanted").when((F.col("status") != "refused") & (F.col("status") != "undated") & shut, "closed").otherwise(F.col("status"))
         kept = [c for c in (order, units, price) if c]
@@ -221,11 +218,8 @@ class LateStore:
         else:
             self.tables["orders"].create(accepted.select("period", F.lit("").alias("order_key")).schema)
         versions = {n: t.versions()[-1] for n, t in self.tables.items()}
-        through = F.greatest(F.lit(closed).cast("date"), F.lit(None).cast("date") if close_through is None else close_through)
-        row = self.spark.range(1).select(
-            F.lit(name).alias("delivery"), F.lit(last["seq"] + 1 if last else 0).cast("long").alias("seq"), *(F.lit(versions[n]).cast("long").alias(n) for n in self._TABLES), through.alias("closed_through")
-        )
-        self.commits.append(row)
+        days = [d for d in (closed, close_through and close_through.isoformat()) if d]
+        self.commits.mark(versions | {"closed_through": max(days, default=None), "deliveries": [*(last["deliveries"] if last else []), name]})
 
     def _unseen(self, known: DataFrame) -> DataFrame:
         """Rows of messages that the store lacks. The store's ids are filtered by those that arrive first, so they are

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,7 +91,7 @@ def p2_corrections(spark: SparkSession, sf: str) -> DataFrame:
 CUTS = ("2015-01-06 03:17:41", "2015-01-15 12:07:00", "2015-02-02 00:00:01", "2015-02-10 12:07:00", "2015-02-27 23:59:59")
 
 
-def _delivered(spark: SparkSession, sf: str, close_after: str) -> late.LateStore:
+def _delivered(spark: SparkSession, sf: str, close_after: datetime.timedelta) -> late.LateStore:
     """Six deliveries, each from its own raw rows, merged one after the other. With each, the days that ended more than
     ``close_after`` before its end are closed."""
     events, store = load(spark, sf, "silver_events"), _late_store(spark)
@@ -101,14 +103,14 @@ def _delivered(spark: SparkSession, sf: str, close_after: str) -> late.LateStore
         if end:
             rows = rows.where(at < F.lit(end).cast("timestamp_ntz"))
         got = late.first_arrivals(rows, uuid_bytes(F.col("event_id")), "event_timestamp", "ingestion_timestamp", ("event_type", "order_id", "quantity", "price"))
-        through = end and F.date_sub(F.to_date(F.lit(end).cast("timestamp_ntz") - F.expr(close_after)), 1)
-        store.deliver(f"delivery-{n}", got, F.col("event_type") == "purchase", through if end else None)
+        through = end and (datetime.datetime.fromisoformat(end) - close_after).date() - datetime.timedelta(days=1)
+        store.deliver(f"delivery-{n}", got, F.col("event_type") == "purchase", through)
     return store
 
 
 def p2_incremental(spark: SparkSession, sf: str) -> DataFrame:
     """Daily figures from six deliveries merged one after the other; equals p2_daily."""
-    return _delivered(spark, sf, late.CUTOFF).figures().select(
+    return _delivered(spark, sf, datetime.timedelta(hours=48)).figures().select(
         F.col("period").alias("order_date"),
         F.col("orders").cast("long").alias("orders"),
         F.col("units").cast("long").alias("units"),
@@ -119,7 +121,7 @@ def p2_incremental(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_refused(spark: SparkSession, sf: str) -> DataFrame:
     """Purchases that six deliveries refused, beyond the cut-off or of a day closed already (here 12 hours after its end)."""
-    refused = _delivered(spark, sf, "INTERVAL 12 HOURS").refused_messages()
+    refused = _delivered(spark, sf, datetime.timedelta(hours=12)).refused_messages()
     return refused.select(uuid_text(F.col("message")).alias("event_id"), day("period").alias("event_date"), F.col("verdict").alias("reason"))
 
 

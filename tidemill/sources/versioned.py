@@ -66,9 +66,9 @@ class VersionedTable:
             raise FileNotFoundError(f"no table at {self.path}")
         return json.loads(self._read_text(f"_log/{known[-1] if version is None else version:020d}.json"))
 
-    def _commit(self, version: int, operation: str, metrics: dict, schema: T.StructType, files: list[str]) -> int:
+    def _commit(self, version: int, operation: str, metrics: dict, schema: T.StructType, files: list[str], properties: dict | None = None) -> int:
         path, fs = self._at(f"_log/{version:020d}.json")
-        text = json.dumps({"version": version, "operation": operation, "metrics": metrics, "schema": json.loads(schema.json()), "files": files})
+        text = json.dumps({"version": version, "operation": operation, "metrics": metrics, "schema": json.loads(schema.json()), "files": files, "properties": properties or {}})
         try:
             out = fs.create(path, False)  # exclusive: fails if the version exists
         except Exception as e:
@@ -129,6 +129,11 @@ class VersionedTable:
             return self.overwrite(frame)
         return self._insert(frame, "APPEND")
 
+    def mark(self, properties: dict) -> None:
+        """A new version with the same rows that carries these properties (texts and numbers): one atomic commit."""
+        m = self.manifest() if self.exists() else {"version": -1, "schema": json.loads(T.StructType().json()), "files": []}
+        self._commit(m["version"] + 1, "MARK", {"inserted": 0, "updated": 0, "deleted": 0}, T.StructType.fromJson(m["schema"]), m["files"], properties)
+
     def restore(self, version: int | None) -> None:
         """A new version with the rows of an earlier one (None: without any)."""
         now = self.manifest()
