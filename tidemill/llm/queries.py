@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,17 +46,29 @@ def p10_forms(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p8_ids, p8_tokens_by_source, p9_mix, p9_shares, p10_found, p10_classes, p10_forms)}
 
 
-def _seen_in_sql() -> str:
-    """The visual form in SQL, for the characters of the test tables: no joined pictures, no marked look-alikes."""
-    wide = [*range(0xFF01, 0xFF5F), *range(0xFF61, 0xFFA0)]
-    to = {chr(c): unicodedata.normalize("NFKD", chr(c)) for c in wide if c != 0xFFA0} | {c: " " for c in "\u00a0\u2007\u202f"} | lookalike.LETTERS
-    quote = lambda t: t.replace("'", "''")
-    lines = "replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
-    bare = f"regexp_replace({lines}, '[\\x{{AD}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}\\x{{FEFF}}\\x{{FE00}}-\\x{{FE0F}}]', '', 'g')"
-    return f"nfc_normalize(translate(nfc_normalize({bare}), '{quote(''.join(to))}', '{quote(''.join(to.values()))}'))"
+#: The mapping for SQL, stated apart from the operator's tables: letters that occur disguised, full-width and half-width forms.
+_LIKE = ("аеосрѕіухԁһјгАВЕІКМНОРСТУХοΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeocpsiyxdhjrABEIKMHOPCTYXoABEZHIKMNOPTYX")
+_KANA = ("ｰﾀｳｶﾝﾊﾃｷｻｭﾛｸｴﾗﾒｾｽﾄｯｼﾞﾟｱｲｵｹｺｿﾁﾂﾅﾆﾇﾈﾉﾋﾌﾍﾎﾏﾐﾑﾓﾔﾕﾖﾘﾙﾚﾜｦｬｮ", "ータウカンハテキサュロクエラメセストッシ\u3099\u309aアイオケコソチツナニヌネノヒフヘホマミムモヤユヨリルレワヲャョ")
+_WIDE = ("".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))))
+_SPACES = ("\u00a0\u2007\u202f\u3000", "    ")
+
+
+def _translated(text: str) -> str:
+    old, new = ("".join(x[i] for x in (_LIKE, _KANA, _WIDE, _SPACES)).replace("'", "''") for i in (0, 1))
+    return f"translate({text}, '{old}', '{new}')"
+
 
+_LINES = "replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+_BARE = f"regexp_replace(nfc_normalize({_LINES}), '[\\x{{AD}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}\\x{{FEFF}}\\x{{FE00}}-\\x{{FE0F}}]', '', 'g')"
+#: What is seen, for the characters of the test tables: no letter of the mapping bears a mark there but io.
+_SEEN = "nfc_normalize(" + _translated(f"replace(replace(nfc_normalize({_BARE}), 'ё', 'ë'), 'Ё', 'Ë')") + ")"
+_FORM = f"regexp_replace(replace(replace(lower({_SEEN}), 'ß', 'ss'), 'ς', 'σ'), '[\\x{{09}}-\\x{{0D}}\\x{{1C}}-\\x{{1F}}\\x{{85}}\\x{{2028}}\\x{{2029}}]', ' ', 'g')"
 
 ORACLE = {
-    "p10_found": f"""WITH v AS (SELECT doc_id, text, md5({_seen_in_sql()}) AS seen FROM documents WHERE text != '')
+    "p10_found": f"""WITH v AS (SELECT doc_id, text, md5({_SEEN}) AS seen FROM documents WHERE text != '')
 SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM v a JOIN v b ON a.seen = b.seen AND a.doc_id < b.doc_id AND a.text != b.text""",
+    "p10_classes": f"""WITH v AS (SELECT doc_id, md5(text) AS content, md5({_SEEN}) AS seen FROM documents WHERE text != ''),
+c AS (SELECT seen, min(doc_id) AS class_id, count(*) AS n_documents, count(DISTINCT content) AS n_contents FROM v GROUP BY seen)
+SELECT doc_id, class_id, n_documents, n_contents FROM v JOIN c USING (seen)""",
+    "p10_forms": f"WITH f AS (SELECT doc_id, text, {_FORM} AS form FROM documents) SELECT doc_id, form, form != text AS changed FROM f",
 }
