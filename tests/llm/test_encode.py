@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -8,7 +9,7 @@ from tidemill.llm import encode
 PATH = f"{encode.TOKENIZERS}/{encode.BYTE_BPE}"
 ODD = [
     "a", "b", "es", "t", "'", "'s", "'ll", "\n", "\n\n", " ", "  ", "\t", "\r\n", "1", "23", ".", ",", "(", ")", "é", "中", "😀", "\u00a0", "\u2007", "\x1c", "\x85", "<|endoftext|>", "re",
-    "--", "==", "A", "\x00", "ß", "İ", "'S", " ' ", "\u0301",
+    "--", "==", "A", "\x00", "ß", "İ", "'S", " ' ", "\u0301", "у", "же", "日本", "語。", "\u3000", "\u2028", "\u00c5", "한", "ا",
 ]
 
 
@@ -22,7 +23,7 @@ def ids(texts, tokenizer):
     return [flat[offsets[i] : offsets[i + 1]].tolist() for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("fragment", [1, 7, 2048])
+@pytest.mark.parametrize("fragment", [1, 7, 256])
 def test_cuts_never_change_ids(tokenizer, monkeypatch, fragment):
     plain = encode.cuts
     monkeypatch.setattr(encode, "cuts", lambda d, b, n: plain(d, b, n, fragment))
@@ -31,8 +32,22 @@ def test_cuts_never_change_ids(tokenizer, monkeypatch, fragment):
     assert ids(texts, tokenizer) == [tokenizer[0].encode_ordinary(t) for t in texts]
 
 
+@pytest.mark.parametrize("text", ["修复 空指针。用例、" * 40, "исправлен щелчок" * 40, "commit 修复\u3000bug, ещё 日本" * 40])
+def test_other_scripts_are_cut_too(tokenizer, text):
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    at = encode.cuts(data, np.array([0, len(data)]), tokenizer[1])
+    assert len(at) >= len(data) // 256 - 1 and ids([text], tokenizer) == [tokenizer[0].encode_ordinary(text)]
+
+
+def test_most_texts_are_cut(spark, tables, tokenizer):
+    """Every text with a certain cut behind its first 256 bytes is cut, however short."""
+    texts = [r.text.encode() for r in spark.read.parquet(f"{tables}/documents.parquet").select("text").collect() if r.text]
+    long_ = [t for t in texts if len(t) > 512]
+    cut = sum(len(encode.cuts(np.frombuffer(t, dtype=np.uint8), np.array([0, len(t)]), tokenizer[1])) > 0 for t in long_)
+    assert cut >= 0.99 * len(long_)
+
+
 def test_cuts_do_cut(tokenizer):
-    import numpy as np
 
     data = np.frombuffer(b"x = (y)\nfoo bar\n" * 1000, dtype=np.uint8)
     assert len(encode.cuts(data, np.array([0, len(data)]), tokenizer[1], 64)) > 200

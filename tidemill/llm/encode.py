@@ -1,14 +1,15 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer, by forced-boundary splitting.
 
-A byte pair that occurs inside no token of the vocabulary marks a certain cut: no merge can ever cross it. Texts are
-cut there, fragments are encoded on their own and the ids put together again. Cuts are placed by the position within
-the text, so copies of a text fall into the same fragments; each distinct fragment is encoded once while it is
-remembered, and a very long text never goes through the merges as one piece.
+A byte pair that occurs inside no token of the vocabulary marks a certain cut: no merge can ever cross it. Every text
+is cut at the first such pair of each stretch of 256 bytes, fragments are encoded on their own and the ids put together
+again. Cuts are placed by the position within the text, so copies of a text fall into the same fragments; each distinct
+fragment is encoded once while it is remembered, and a very long text never goes through the merges as one piece.
 
-The tokenizer also splits text by a pattern before it merges. A cut keeps that split only where neither side can see
-the other: both bytes are ASCII, the left one is no white space (else a run of it would be split otherwise) and the
-right one no apostrophe (else it might begin a contraction). Other forced pairs are not used. A very long run of white
-space, which the pattern library can't match, is split by hand the way the pattern would split it.
+The tokenizer also splits text by a pattern before it merges. A cut keeps that split where it lies between two
+characters, the left one is no white space (else a run of it would be split otherwise) and the right one no apostrophe
+(else it might begin a contraction). So the right byte begins a character, and the left byte is not the last one of any
+white space in UTF-8. Other forced pairs are not used. A run of 1,000 or more white space characters overflows the
+pattern library's stack; it is split by hand the way the pattern would split it, which gives the same ids.
 
 Defined results: null and empty texts give an empty list; strings that look like special tokens are ordinary text; no
 special tokens are added; repeated rows are encoded like others; whole texts are encoded, however long.
@@ -20,6 +21,7 @@ import base64
 import os
 import re
 import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,9 @@ BYTE_BPE = "byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that this family of tokenizers splits text by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A text is cut at the first certain cut of each stretch of so many bytes.
-FRAGMENT = 2048
+FRAGMENT = 256
 #: White space as the pattern knows it; runs beyond this length are split by hand.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LONG_BLANK = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}")
 #: Bytes of text worked on at once.
 SLICE = 8 << 20
@@ -44,7 +47,8 @@ REMEMBER = 24 << 20
 
 def load_tokenizer(path: str):
     """The encoding and a table of 65,536 byte pairs: True where no token has the pair inside. Kept per process."""
-    kept = sys.__dict__.setdefault("_tidemill_tokenizers", {})
+    # functions come to a worker by value; what it keeps between tasks lies in a module of its own
+    kept = vars(sys.modules.setdefault("tidemill_tokenizers", types.ModuleType("tidemill_tokenizers", "Tokenizers loaded by this process, by path.")))
     if path not in kept:
         import tiktoken
 
@@ -55,11 +59,12 @@ def load_tokenizer(path: str):
             if len(token) > 1:
                 raw = np.frombuffer(token, dtype=np.uint8).astype(np.uint16)
                 never[(raw[:-1] << 8) | raw[1:]] = False
-        # what the pattern needs, see above
+        # what the pattern needs, see above: the last bytes of all white space, in UTF-8
+        blank = np.zeros(256, dtype=bool)
+        blank[[ord(c) if c.isascii() else c.encode()[-1] for c in BLANKS]] = True
         pair = np.arange(65536)
         left, right = pair >> 8, pair & 255
-        blank = ((left >= 9) & (left <= 13)) | ((left >= 28) & (left <= 32))
-        never &= (left < 128) & (right < 128) & ~blank & (right != ord("'"))
+        never &= ((right < 128) | (right >= 0xC0)) & ~blank[left] & (right != ord("'"))
         kept[path] = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), never
     return kept[path]
 
