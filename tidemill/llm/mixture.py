@@ -2,11 +2,14 @@
 
 The mixture is a row of slots of equal size in tokens. Slot k gets the point k * g mod 1 (golden ratio, in integers);
 the cumulative target weights map points to sources, so every stretch of the mixture holds each source in proportion.
-Each source is shuffled (by hash, anew for each repeat), laid end to end and cut into blocks of the same size; its
-n-th slot takes its n-th block. Records are never split: a record belongs to the block in which it begins.
+Each source is shuffled (by hash, anew for each repeat), laid end to end and cut into blocks of exactly that size; its
+n-th slot takes its n-th block. A record that crosses the border of blocks comes out in pieces, one per block, each with
+the token it begins at, so shares are exact to a block and don't depend on the length of records.
 
 The size of the mixture is the largest at which no record is used more than its source's cap. Sources of the targets
-that have no tokens can't contribute; their share is spread over the others in proportion and reported.
+that have no tokens can't contribute; their share is spread over the others in proportion and reported. With ``fill``
+the size is that of all tokens of the targets' sources (or total_tokens): a source that can't fill its share is used up
+to its cap, what it lacks is spread over the others in proportion, and feasible_share tells the result.
 
 Running totals within a source go over hash buckets and a summary of one row per bucket, so a source with most of the
 corpus is spread over as many tasks as there are buckets.
@@ -18,7 +21,7 @@ source out; no targets or no documents give an empty mixture; repeated records c
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,7 +84,7 @@ def schedule(spark: SparkSession, slots: int, shares: list[Share]) -> DataFrame:
 
 
 def blocks(sized: DataFrame, shares: list[Share], slots: int, block_tokens: int, seed: int) -> DataFrame:
-    """Records with use (from 1), offset in tokens within their source's repeats, and block."""
+    """Pieces of records with use (from 1), first_token, n_tokens, offset in tokens within their source's repeats, and block."""
     spark = sized.sparkSession
     needed = []
     for s in shares:
@@ -99,11 +102,33 @@ def blocks(sized: DataFrame, shares: list[Share], slots: int, block_tokens: int,
     inside = spread.withColumn("ahead", F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0)))
     offset = (F.col("use") - 1) * F.col("source_tokens") + F.col("earlier") + F.col("ahead")
     placed = inside.join(carried, ["source", "use", "bucket"]).withColumn("offset", offset)
-    return placed.select("source", "doc_id", "use", "n_tokens", "offset", F.floor(F.col("offset") / block_tokens).alias("block"))
-
-
-def mix(documents: DataFrame, targets: DataFrame, sized: DataFrame | None = None, block_tokens: int = 2048, seed: int = 7, total_tokens: int | None = None) -> Mixture:
-    """The mixture: slot, source, doc_id, use, n_tokens, offset. ``total_tokens`` asks for less than the largest size."""
+    first, last = F.floor(F.col("offset") / block_tokens), F.floor((F.col("offset") + F.col("n_tokens") - 1) / block_tokens)
+    cut = placed.select("source", "doc_id", "use", "n_tokens", "offset", F.explode(F.sequence(first, last)).alias("block"))
+    begin = F.greatest(F.col("block") * block_tokens - F.col("offset"), F.lit(0))
+    end = F.least((F.col("block") + 1) * block_tokens - F.col("offset"), F.col("n_tokens"))
+    return cut.select("source", "doc_id", "use", begin.alias("first_token"), (end - begin).alias("n_tokens"), (F.col("offset") + begin).alias("offset"), "block")
+
+
+def filled(shares: list[Share], total: float) -> tuple[list[Share], float]:
+    """Shares of a mixture of ``total`` tokens in which sources that can't fill theirs are used up to their cap, and its size."""
+    sizes: dict[str, float] = {}
+    while True:
+        free = [s for s in shares if s.weight > 0 and s.source not in sizes]
+        left, weight = total - sum(sizes.values()), sum(s.weight for s in free)
+        short = {s.source: float(s.tokens * s.cap) for s in free if left * s.weight / weight > s.tokens * s.cap}
+        if not short:
+            break
+        sizes |= short
+    sizes |= {s.source: left * s.weight / weight for s in free}
+    size = sum(sizes.values())
+    return [replace(s, weight=sizes.get(s.source, 0.0) / size) for s in shares], size
+
+
+def mix(
+    documents: DataFrame, targets: DataFrame, sized: DataFrame | None = None, block_tokens: int = 2048, seed: int = 7, total_tokens: int | None = None, fill: bool = False
+) -> Mixture:
+    """The mixture: slot, source, doc_id, use, first_token, n_tokens, offset. ``total_tokens`` asks for less than the largest
+    size or, with ``fill``, for another size than all tokens."""
     if sized is None:
         from tidemill.llm.encode import token_counts
 
@@ -114,25 +139,29 @@ def mix(documents: DataFrame, targets: DataFrame, sized: DataFrame | None = None
     live = [s for s in shares if s.weight > 0]
     spark = documents.sparkSession
     if not live:
-        none = spark.createDataFrame([], "slot long, source string, doc_id long, use int, n_tokens long, offset long")
+        none = spark.createDataFrame([], "slot long, source string, doc_id long, use int, first_token long, n_tokens long, offset long")
         return Mixture(none, shares, 0, block_tokens)
-    largest = min(s.tokens * s.cap / s.weight for s in live)
-    slots = max(1, int(-(-min(largest, total_tokens or largest) // block_tokens)))
+    if fill:
+        shares, size = filled(shares, total_tokens or sum(s.tokens for s in live))
+    else:
+        largest = min(s.tokens * s.cap / s.weight for s in live)
+        size = min(largest, total_tokens or largest)
+    slots = max(1, int(-(-size // block_tokens)))
     placed = blocks(sized, shares, slots, block_tokens, seed)
     plan_ = schedule(spark, slots, shares).select(F.col("source").alias("__s"), "slot", "nth")
     out = placed.join(plan_, (F.col("source") == F.col("__s")) & (F.col("block") == F.col("nth")))
-    return Mixture(out.select("slot", "source", "doc_id", "use", "n_tokens", "offset"), shares, slots, block_tokens)
+    return Mixture(out.select("slot", "source", "doc_id", "use", "first_token", "n_tokens", "offset"), shares, slots, block_tokens)
 
 
 def shares_reached(made: Mixture) -> DataFrame:
     """Per target source: target and reached share, tokens and records in the mixture and available, most uses of a record,
-    and the tokens of the records that the mixture leaves out."""
+    and the tokens that the mixture leaves out."""
     spark = made.records.sparkSession
     got = made.records.groupBy(F.col("source").alias("__s")).agg(
         F.sum("n_tokens").alias("tokens"),
-        F.count(F.lit(1)).alias("records"),
+        F.count_if(F.col("first_token") == 0).alias("records"),
         F.max("use").alias("most_uses"),
-        # a record's further uses are rows with a use above 1
+        # a record's further uses are pieces with a use above 1
         F.sum(F.when(F.col("use") == 1, F.col("n_tokens"))).alias("__used"),
     )
     rows = [(s.source, s.target, s.weight, s.cap, s.tokens) for s in made.shares]

@@ -31,6 +31,12 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixture.shares_reached(_mixture(spark, sf))
 
 
+def p9_filled_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of a mixture as large as its sources, in which the small ones are used up to their caps."""
+    documents = load(spark, sf, "documents").select("doc_id", "source", "text")
+    return mixture.shares_reached(mixture.mix(documents, load(spark, sf, "mix_targets"), fill=True))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.pairs(materialize(lookalike.digests(load(spark, sf, "documents").select("doc_id", "text"))))
 
@@ -43,7 +49,7 @@ def p10_forms(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.forms(load(spark, sf, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_tokens_by_source, p9_mix, p9_shares, p10_found, p10_classes, p10_forms)}
+QUERIES = {f.__name__: f for f in (p8_ids, p8_tokens_by_source, p9_mix, p9_shares, p9_filled_shares, p10_found, p10_classes, p10_forms)}
 
 
 #: The mapping for SQL, stated apart from the operator's tables: letters that occur disguised, full-width and half-width forms.
