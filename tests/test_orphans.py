@@ -39,3 +39,15 @@ def test_empty_sides(spark):
     refs, none = spark.createDataFrame([(1, "a", T0, "", "")], REF), spark.createDataFrame([], PAR)
     assert orphans.orphans(refs, "ref", "at", none, "k", "born").count() == 1
     assert orphans.orphans(refs.limit(0), "ref", "at", none, "k", "born", "died").count() == 0
+
+
+def test_one_bit_takes_bytes_and_codes_follow_first_use(spark):
+    from pyspark.sql import functions as F
+
+    coded = spark.createDataFrame([(40_000, 7), (5, 7), (3, 7)], "code long, period int")
+    got = {r.key_range: list(r.spots) for r in orphans.compressed(orphans._bits(coded, "ref")).collect()}
+    assert got == {2: [40_000 - 32_768], 1: [3, 5]}
+    used = spark.createDataFrame([(f"k{i}", 100 - i) for i in range(50)], "key string, period int")
+    none = spark.createDataFrame([("never used", None, None)], "key string, born timestamp_ntz, died timestamp_ntz")
+    book = orphans.dictionary(used, none).orderBy(F.col("code")).collect()
+    assert [r.key for r in book] == [f"k{i}" for i in range(49, -1, -1)] + ["never used"]

@@ -1,11 +1,14 @@
 """References to records that do not exist, per table and period.
 
-Keys are encoded by a dictionary as integers that are dense within each block, references become one bitmap per
-range of 32,768 keys and period, and parents become bitmaps of keys born and deleted per period. Sweeping over the
-periods of one key range, reference AND-NOT parent leaves the bits of keys that didn't exist during the whole period.
-These are decoded and, since a parent may arrive or go within a period, checked against its exact times.
+Keys are encoded by a dictionary as integers in the order of their first use, dense within each block, so that keys
+used together lie in the same range. References become one compressed bitmap per range of 32,768 keys and period, and
+parents bitmaps of the keys born and deleted per period. A compressed bitmap is the sorted list of its 16-bit places (two
+bytes a bit) and is turned into plain bits while its period is swept. Sweeping over the periods of one key range,
+reference AND-NOT parent leaves the bits of keys that didn't exist during the whole period. These are decoded and, since
+a parent may arrive or go within a period, checked against its exact times.
 
-A key that a third of all rows refer to is one bit per period, so its weight ends at the map side.
+A key that a third of all rows refer to is one bit per period, so its weight ends at the map side. Bits are dealt out by
+range as rows of a few bytes and bitmaps are made where they are swept, so no bitmap is shuffled.
 
 Defined results: a null reference is no reference; a parent row without a time never counts as arrived; a reference
 without a time is an orphan only if its parent never arrives; a parent with several rows exists from the earliest on
@@ -31,34 +34,48 @@ def _period(column: str):
     return F.coalesce(F.unix_date(F.col(column).cast("date")), F.lit(_NO_TIME)).cast("int")
 
 
-def dictionary(refs: DataFrame, parents: DataFrame) -> DataFrame:
-    """key, code, born, died of every key on either side. Codes run densely within a task's block of keys.
+def dictionary(used: DataFrame, parents: DataFrame) -> DataFrame:
+    """key, code, born, died of every key on either side; ``used`` has key and period. Codes run densely within a task's
+    block of keys, and blocks are ranges of the period of first use.
 
     It is written out once, since codes made by position must not change when a task is repeated.
     """
+    never = F.lit(None).cast("timestamp_ntz")
     keys = (
-        refs.select("key", F.lit(None).cast("timestamp_ntz").alias("born"), F.lit(None).cast("timestamp_ntz").alias("died"))
-        .unionByName(parents)
+        used.select("key", F.col("period").alias("first"), never.alias("born"), never.alias("died"))
+        .unionByName(parents.select("key", F.lit(None).cast("int").alias("first"), "born", "died"))
         .groupBy("key")
-        .agg(F.min("born").alias("born"), F.min("died").alias("died"))
+        .agg(F.min("first").alias("first"), F.min("born").alias("born"), F.min("died").alias("died"))
     )
-    return materialize(keys.withColumn("code", F.monotonically_increasing_id()))
+    # keys of parents that nothing refers to come last
+    placed = keys.withColumn("first", F.coalesce("first", F.lit(_NO_TIME))).repartitionByRange("first", "key").sortWithinPartitions("first", "key")
+    return materialize(placed.select("key", F.monotonically_increasing_id().alias("code"), "born", "died"))
 
 
-def _bitmaps(coded: DataFrame, what: str) -> DataFrame:
-    return coded.groupBy(F.bitmap_bucket_number(F.col("code") + 1).alias("key_range"), "period").agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("code") + 1)).alias("bits")
-    ).withColumn("what", F.lit(what))
+def _bits(coded: DataFrame, what: str) -> DataFrame:
+    """key_range, period, what, spot of single bits; coded has one row per code and period."""
+    place = F.col("code") + 1
+    return coded.select(F.bitmap_bucket_number(place).alias("key_range"), "period", F.lit(what).alias("what"), F.bitmap_bit_position(place).cast("short").alias("spot"))
+
+
+def compressed(bits: DataFrame) -> DataFrame:
+    """Compressed bitmaps: the sorted places of each key range, period and kind, at most 32,768 of two bytes."""
+    return bits.repartition("key_range").groupBy("key_range", "period", "what").agg(F.array_sort(F.collect_list("spot")).alias("spots"))
 
 
 def _sweep(group: pd.DataFrame) -> pd.DataFrame:
     """Bits of references that no parent covers for the whole period; one key range, all its periods."""
     out_code, out_period = [], []
     alive = np.zeros(RANGE // 8, dtype=np.uint8)
-    by = {w: dict(zip(g["period"], g["bits"], strict=True)) for w, g in group.groupby("what")}
+    by = {w: dict(zip(g["period"], g["spots"], strict=True)) for w, g in group.groupby("what")}
     births, deaths, refs = (by.get(w, {}) for w in ("born", "died", "ref"))
     start = (int(group["key_range"].iloc[0]) - 1) * RANGE
-    as_bits = lambda raw: np.frombuffer(raw, dtype=np.uint8)
+
+    def as_bits(spots) -> np.ndarray:
+        flags = np.zeros(RANGE, dtype=np.uint8)
+        flags[np.asarray(spots, dtype=np.int64)] = 1
+        return np.packbits(flags, bitorder="little")
+
     dead = np.zeros_like(alive)
     for period in sorted({*births, *deaths, *refs}):
         if period in deaths:
@@ -86,14 +103,12 @@ def orphans(refs: DataFrame, ref_column: str, at: str, parents: DataFrame, paren
         F.col(born).cast("timestamp_ntz").alias("born"),
         (F.col(died).cast("timestamp_ntz") if died else F.lit(None).cast("timestamp_ntz")).alias("died"),
     )
-    book = dictionary(used.select("key"), there)
+    book = dictionary(used, there)
     coded = used.join(book.select("key", "code"), "key").select("code", "period")
-    maps = (
-        _bitmaps(coded, "ref")
-        .unionByName(_bitmaps(book.where(F.col("born").isNotNull()).select("code", _period("born").alias("period")), "born"))
-        .unionByName(_bitmaps(book.where(F.col("died").isNotNull()).select("code", _period("died").alias("period")), "died"))
-    )
-    left = maps.groupBy("key_range").applyInPandas(_sweep, "code long, period int")
+    bits = _bits(coded, "ref")
+    for event in ("born", "died"):
+        bits = bits.unionByName(_bits(book.where(F.col(event).isNotNull()).select("code", _period(event).alias("period")), event))
+    left = compressed(bits).groupBy("key_range").applyInPandas(_sweep, "code long, period int")
     suspects = left.join(book, "code").select(F.col("key").alias("__k"), F.col("period").alias("__p"), "born", "died")
     near = rows.join(suspects, (F.col("__key") == F.col("__k")) & (F.col("__period") == F.col("__p")))
     gone = F.col("born").isNull() | F.coalesce(F.col("born") > F.col("__at"), F.lit(False)) | F.coalesce(F.col("died") <= F.col("__at"), F.lit(False))
