@@ -214,6 +214,21 @@ def p5_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return _product_ledger(spark, sf).select("product_id", "attrs.description", "attrs.unit_price", "valid_from", "valid_to", "recorded_from", "recorded_to")
 
 
+def _event_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices per product as events told them: valid from the event's time, recorded at its ingestion, so that late and
+    out-of-order events split intervals that were believed before."""
+    told = load(spark, sf, "silver_events").where(F.col("price").isNotNull() & F.col("product_id").isNotNull())
+    return history.ledger(told.select("product_id", "event_timestamp", "ingestion_timestamp", "price"), ["product_id"], "event_timestamp", "ingestion_timestamp", ["price"])
+
+
+def p5_event_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    return _event_ledger(spark, sf).select("product_id", "attrs.price", "valid_from", "valid_to", "recorded_from", "recorded_to")
+
+
+def p5_event_prices(spark: SparkSession, sf: str) -> DataFrame:
+    return history.versions(_event_ledger(spark, sf), ["product_id"]).select("product_id", "attrs.price", "valid_from", "valid_to")
+
+
 # 6 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -274,6 +289,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_summary, p2_found, p2_daily, p2_corrections, p2_incremental, p2_refused, p3_found, p3_country_figures, p4_found, p4_silver_once, p4_bronze_once,
-        p5_found, p5_product_history, p5_price_history, p5_ledger, p6_found, p6_rejected, p6_error_types, p6_invoices, p6_events, p7_found, p7_report,
+        p5_found, p5_product_history, p5_price_history, p5_ledger, p5_event_ledger, p5_event_prices, p6_found, p6_rejected, p6_error_types, p6_invoices, p6_events, p7_found, p7_report,
     )
 }

@@ -47,6 +47,12 @@ pmarked AS (SELECT *, lag(seen) OVER w AS pat, lag(description) OVER w AS pd, la
 prod_starts AS (SELECT product_id, description, unit_price, seen FROM pmarked WHERE pat IS NULL OR description IS DISTINCT FROM pd OR unit_price IS DISTINCT FROM pu)"""
 
 
+#: Prices that events told: i in order of valid time, t in order of recording.
+_TOLD = """u AS (SELECT DISTINCT product_id, price, event_timestamp AS v, coalesce(ingestion_timestamp, event_timestamp) AS r FROM silver_events
+  WHERE price IS NOT NULL AND product_id IS NOT NULL AND event_timestamp IS NOT NULL),
+told AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY v, r, price) AS i, row_number() OVER (PARTITION BY product_id ORDER BY r, v, price) AS t FROM u)"""
+
+
 def _orphan(table: str, row_key: str, ref: str, parent: str, key: str, died: str | None) -> str:
     dead = f"min(p.{died})" if died else "CAST(NULL AS TIMESTAMP)"
     return f"""SELECT '{table}' AS table_name, r.{row_key} AS row_key, '{ref}' AS ref_column, r.{ref} AS ref, CAST(r.ingestion_timestamp AS DATE) AS period
@@ -115,6 +121,16 @@ SELECT s.product_id, average_price, snapshot_date AS valid_from, (SELECT min(c.d
 n AS (SELECT *, lead(seen) OVER (PARTITION BY product_id ORDER BY seen) AS nxt FROM u)
 SELECT product_id, description, unit_price, seen AS valid_from, CAST(NULL AS TIMESTAMP) AS valid_to, seen AS recorded_from, nxt AS recorded_to FROM n
 UNION ALL SELECT product_id, description, unit_price, seen, nxt, nxt, NULL FROM n WHERE nxt IS NOT NULL""",
+    "p5_event_ledger": f"""WITH {_TOLD}, near AS (SELECT a.product_id, a.i, max(CASE WHEN b.i < a.i THEN b.i END) AS p, min(CASE WHEN b.i > a.i THEN b.i END) AS s
+  FROM told a LEFT JOIN told b ON a.product_id = b.product_id AND b.t < a.t GROUP BY a.product_id, a.i),
+linked AS (SELECT u.*, p, x.v AS sv FROM told u JOIN near USING (product_id, i) LEFT JOIN told x ON x.product_id = u.product_id AND x.i = near.s),
+pieces AS (SELECT product_id, i AS owner, r AS recorded_from, t, sv AS valid_to FROM linked UNION ALL SELECT product_id, p, r, t, v FROM linked WHERE p IS NOT NULL),
+turned AS (SELECT *, lead(recorded_from) OVER (PARTITION BY product_id, owner ORDER BY t) AS recorded_to FROM pieces)
+SELECT product_id, price, v AS valid_from, valid_to, recorded_from, recorded_to FROM turned JOIN (SELECT product_id, i AS owner, price, v FROM told) USING (product_id, owner)
+WHERE (recorded_to IS NULL OR recorded_to > recorded_from) AND (valid_to IS NULL OR valid_to > v)""",
+    "p5_event_prices": f"""WITH {_TOLD}, last AS (SELECT product_id, v, arg_max(price, t) AS price FROM told GROUP BY ALL),
+marked AS (SELECT *, lag(v) OVER w AS pv, lag(price) OVER w AS pp FROM last WINDOW w AS (PARTITION BY product_id ORDER BY v))
+SELECT product_id, price, v AS valid_from, lead(v) OVER (PARTITION BY product_id ORDER BY v) AS valid_to FROM marked WHERE pv IS NULL OR price IS DISTINCT FROM pp""",
     "p7_found": f"SELECT DISTINCT table_name, row_key, ref_column FROM ({_ORPHANS})",
     "p7_report": f"SELECT table_name, ref_column, period, count(*) AS orphan_rows, count(DISTINCT ref) AS orphan_keys FROM ({_ORPHANS}) GROUP BY table_name, ref_column, period",
 }
