@@ -59,3 +59,45 @@ def test_missing_table_and_nothing_deleted_from_empty(spark, tmp_path):
     t.create(spark.createDataFrame([], DDL).schema)
     assert t.read().count() == 0 and t.delete_keys(spark.createDataFrame([("a",)], "k string"), ["k"])["deleted"] == 0
     assert t.read().agg(F.count("v")).first()[0] == 0
+
+
+def test_a_crash_while_writing_leaves_no_version(spark, tmp_path, monkeypatch):
+    t = table(spark, tmp_path, [("a", 1)])
+    with monkeypatch.context() as m:
+        m.setattr(t, "_publish", lambda aside, path: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            t.append(spark.createDataFrame([("b", 2)], DDL))
+    (tmp_path / "a table" / "_log" / ".half").write_text('{"version": 2, "oper')  # a writer that died before publishing
+    assert t.versions() == [0, 1] and read(t) == [("a", 1)]
+    t.append(spark.createDataFrame([("c", 3)], DDL))
+    assert read(t) == [("a", 1), ("c", 3)]
+
+
+def test_other_errors_are_no_conflict_and_a_hook_publishes(spark, tmp_path):
+    t = table(spark, tmp_path, [("a", 1)])
+    seen = []
+    t.publish = lambda aside, path: (seen.append(path.getName()), VersionedTable._publish(t, aside, path))
+    t.append(spark.createDataFrame([("b", 2)], DDL))
+    assert seen == [f"{2:020d}.json"] and read(t) == [("a", 1), ("b", 2)]
+    t.publish = lambda aside, path: (_ for _ in ()).throw(OSError("no space"))
+    with pytest.raises(OSError):
+        t.append(spark.createDataFrame([("c", 2)], DDL))
+
+
+def test_manifests_hold_changes_and_any_version_is_read(spark, tmp_path, monkeypatch):
+    from tidemill.sources import versioned
+
+    monkeypatch.setattr(versioned, "CHECKPOINT", 3)
+    t = table(spark, tmp_path)
+    want = {0: []}
+    for n in range(1, 6):
+        t.append(spark.createDataFrame([(f"k{n}", n)], DDL))
+        want[n] = [*want[n - 1], (f"k{n}", n)]
+    t.delete_keys(spark.createDataFrame([("k2",)], "k string"), ["k"])
+    want[6] = [r for r in want[5] if r[0] != "k2"]
+    t.restore(2)
+    want[7] = want[2]
+    t.mark({"note": "x"})
+    assert all(read(t, n) == rows for n, rows in want.items()) and read(t) == want[2] and t.manifest()["properties"] == {"note": "x"}
+    assert '"files": [' not in t._read_text(f"_log/{4:020d}.json")
+    assert [r.files for r in t.history().orderBy("version").collect()] == [len(t.manifest(n)["files"]) for n in t.versions()]

@@ -1,8 +1,10 @@
 """Versioned Parquet tables with merges, for engines without a table format.
 
 A table is a folder: immutable Parquet file sets under ``data/``, and one manifest per version under ``_log/`` with
-its operation, metrics, schema and list of files. A commit writes the next manifest by exclusive creation, so of two
-writers one fails and none overwrites. Readers take the files of one version, so a merge may replace files that a
+its operation, metrics, schema and files. A manifest is written aside and then gets its name in one step that fails if
+the name is taken (a link on local file systems, a rename elsewhere; object stores need a hook), so of two writers one
+fails, none overwrites, and a crash leaves no half manifest. Manifests list what a version adds and removes; every
+sixteenth lists all files, so a commit costs what it changes and a reader opens at most sixteen. Readers take the files of one version, so a merge may replace files that a
 reader still uses. A merge with no effective rows makes no version.
 
 Merges rewrite only the files that hold a matching row; inserts only append files. Tables can be stored by date or any
@@ -13,8 +15,9 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,13 +30,18 @@ def _spot(file: str) -> str:
     return "/".join(file.split("/")[-2:])
 
 
+#: Every so many versions a manifest lists all files of the table.
+CHECKPOINT = 16
+
+
 class CommitConflict(RuntimeError):
     """Another writer took the version."""
 
 
 class VersionedTable:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = prepare(spark), path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, publish: Callable | None = None):
+        """``publish`` renames a manifest (two Hadoop paths) without overwriting, for stores whose rename isn't atomic."""
+        self.spark, self.path, self.publish = prepare(spark), path.rstrip("/"), publish
         self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
 
@@ -55,7 +63,8 @@ class VersionedTable:
         path, fs = self._at("_log")
         if not fs.exists(path):
             return []
-        return sorted(int(s.getPath().getName().split(".")[0]) for s in fs.listStatus(path) if s.getPath().getName().endswith(".json"))
+        names = (s.getPath().getName() for s in fs.listStatus(path))
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and not n.startswith("."))
 
     def exists(self) -> bool:
         return bool(self.versions())
@@ -64,21 +73,52 @@ class VersionedTable:
         known = self.versions()
         if not known:
             raise FileNotFoundError(f"no table at {self.path}")
-        return json.loads(self._read_text(f"_log/{known[-1] if version is None else version:020d}.json"))
+        now = made = json.loads(self._read_text(f"_log/{known[-1] if version is None else version:020d}.json"))
+        added: list[str] = []
+        gone: set[str] = set()
+        while "files" not in made:
+            added = [f for f in made["add"] if f not in gone] + added
+            gone |= set(made["remove"])
+            made = json.loads(self._read_text(f"_log/{made['version'] - 1:020d}.json"))
+        return now | {"files": [*(f for f in made["files"] if f not in gone), *added]}
 
     def _commit(self, version: int, operation: str, metrics: dict, schema: T.StructType, files: list[str], properties: dict | None = None) -> int:
         path, fs = self._at(f"_log/{version:020d}.json")
-        text = json.dumps({"version": version, "operation": operation, "metrics": metrics, "schema": json.loads(schema.json()), "files": files, "properties": properties or {}})
-        try:
-            out = fs.create(path, False)  # exclusive: fails if the version exists
-        except Exception as e:
-            raise CommitConflict(f"version {version} of {self.path} exists") from e
+        entry = {"version": version, "operation": operation, "metrics": metrics, "schema": json.loads(schema.json()), "n_files": len(files), "properties": properties or {}}
+        if version % CHECKPOINT:
+            before = self.manifest(version - 1)["files"]
+            kept, had = set(files), set(before)
+            entry |= {"add": [f for f in files if f not in had], "remove": [f for f in before if f not in kept]}
+        else:
+            entry["files"] = files
+        text = json.dumps(entry)
+        aside, _ = self._at(f"_log/.{uuid.uuid4().hex}")
+        out = fs.create(aside, False)
         try:
             out.write(bytearray(text, "utf-8"))
         finally:
             out.close()
+        try:
+            (self.publish or self._publish)(aside, path)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                raise CommitConflict(f"version {version} of {self.path} exists") from e
+            raise
+        finally:
+            fs.delete(aside, False)
         return version
 
+    def _publish(self, aside, path) -> None:
+        """Give a complete manifest its name, all at once and only if nothing has that name."""
+        uri = path.toUri()
+        if path.getFileSystem(self._conf).getUri().getScheme() == "file":
+            files, local = self._jvm.java.nio.file.Files, lambda p: self._jvm.java.io.File(p.toUri().getPath()).toPath()
+            files.createLink(local(path), local(aside))
+        else:
+            none = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            none[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(uri, self._conf).rename(aside, path, none)
+
     def _write(self, frame: DataFrame) -> tuple[list[str], int]:
         """New files and their rows (counted from the files' footers)."""
         name = f"{self.path}/data/{uuid.uuid4().hex}"
@@ -107,8 +147,9 @@ class VersionedTable:
         return self.spark.read.schema(schema).parquet(*new) if new else self.spark.createDataFrame([], schema)
 
     def history(self) -> DataFrame:
-        rows = [(m["version"], m["operation"], {k: str(v) for k, v in m["metrics"].items()}, len(m["files"])) for m in map(self.manifest, self.versions())]
-        return self.spark.createDataFrame(rows, "version long, operation string, metrics map<string,string>, files int")
+        """Operation, metrics and number of files of every version; the log is read by Spark, not by the driver."""
+        log = "version long, operation string, metrics map<string,string>, n_files int"
+        return self.spark.read.schema(log).json(f"{self.path}/_log/*.json").withColumnRenamed("n_files", "files")
 
     # writing -------------------------------------------------------------------------------------------------------
 
