@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.identifiers import uuid_bytes, uuid_text
+from tidemill.session import materialize
 
 MONEY = "decimal(12,2)"
 TOTAL = "decimal(18,2)"
@@ -185,19 +186,35 @@ def changed_orders(items: DataFrame, orders: DataFrame, since) -> DataFrame:
     return new[0].union(new[1]).distinct()
 
 
+def _changed(items: DataFrame, orders: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Current items and orders of the changed orders, and what is stored of them.
+
+    ``items`` and ``orders`` are the raw tables: the high-water mark is pushed to their scans as a literal, and only rows
+    of changed orders are brought to one row per key.
+    """
+    ids = materialize(changed_orders(items, orders, high_water(stored)).where(F.col("order_id").isNotNull()))
+    of = lambda frame: frame.join(ids, "order_id", "left_semi")
+    return distinct_items(of(items)), current_orders(of(orders)), of(stored)
+
+
 def fact_orders_delta(items: DataFrame, orders: DataFrame, stored: DataFrame) -> DataFrame:
-    """Rows of fact_orders that differ from what is stored: whole orders are recomputed, unchanged ones drop out."""
-    ids = changed_orders(items, orders, high_water(stored))
-    fresh = fact_orders(items.join(ids, "order_id", "left_semi"), orders.join(ids, "order_id", "left_semi"))
-    return fresh.subtract(stored.select(*fresh.columns))
+    """Rows of fact_orders that differ from what is stored, from the raw tables: whole orders are recomputed, unchanged ones drop out."""
+    items, orders, before = _changed(items, orders, stored)
+    fresh = fact_orders(items, orders)
+    return fresh.subtract(before.select(*fresh.columns))
 
 
 def fact_order_items_delta(items: DataFrame, orders: DataFrame, stored: DataFrame) -> DataFrame:
+    """The same for fact_order_items."""
+    items, orders, before = _changed(items, orders, stored)
     fresh = fact_order_items(items, orders)
-    since = high_water(stored)
-    if since is not None:
-        fresh = fresh.where(F.col("ingestion_timestamp") >= F.lit(since))
-    return fresh.subtract(stored.select(*fresh.columns))
+    return fresh.subtract(before.select(*fresh.columns))
+
+
+def changed_days(delta: DataFrame, before: DataFrame) -> DataFrame:
+    """order_date of every day that changed orders are on now or were on before."""
+    then = before.join(delta.select("order_id"), "order_id", "left_semi")
+    return delta.select(F.to_date("order_timestamp").alias("order_date")).union(then.select(F.to_date("order_timestamp"))).distinct()
 
 
 def apply_delta(stored: DataFrame, delta: DataFrame, key: str) -> DataFrame:
