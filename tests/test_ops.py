@@ -38,7 +38,17 @@ def test_end_to_end(spark, tmp_path):
     assert (run["records_read"], run["records_written"], run["records_rejected"]) == (20, 15, 5)
     document = json.loads(cli.build_gold(spark, root))
     assert document["kpis"]["orders"] == sum(d["orders"] for d in document["dailySales"]) and "rejection_rate" in (tmp_path / "root/incident.txt").read_text()
-    assert 'records_total{status="rejected"} 5' in (tmp_path / "root/metrics.prom").read_text()
+    prom = (tmp_path / "root/metrics.prom").read_text()
+    assert 'records_total{status="rejected"} 5' in prom and "tidemill_pipeline_failed 0" in prom and "tidemill_alerts 1" in prom and "duration_seconds" in prom
+    latest = json.loads((tmp_path / "root/latest.json").read_text())
+    assert latest["run"]["records_read"] == 20 and [a["metric"] for a in latest["alerts"]] == ["rejection_rate"]
+    # the duplicates of the first run and the rejections of the last
+    assert [json.loads(x)["metric"] for x in (tmp_path / "root/alerts.jsonl").read_text().splitlines()] == ["duplicate_rate", "rejection_rate"]
+    assert "action: look at the quarantine" in (tmp_path / "root/incident.txt").read_text()
+    assert {"customers", "inventory", "eventRate", "reconciliation", "metadata"} <= document.keys() and document["reconciliation"]["gold_revenue"] == document["reconciliation"]["daily_revenue"]
+    cli.main(["export", "--root", root])
+    lines = [json.loads(x) for f in (tmp_path / "root/export/quarantine").glob("part-*") for x in f.read_text().splitlines()]
+    assert len(lines) == 5 and list((tmp_path / "root/export/audit").glob("part-*"))
     states = [r.status for r in ops.Ledger(spark, f"file://{root}/ledger").read().collect()]
     assert states == ["SUCCESS"] * 3
     (tmp_path / "root" / "mine.txt").write_text("x")
@@ -160,3 +170,35 @@ def test_failed_gold_build_commits_nothing(spark, tmp_path, monkeypatch):
     with pytest.raises(ops.Unreconciled):
         cli.build_gold(spark, root)
     assert not (tmp_path / "work" / "gold").exists()
+
+
+def test_overflow_in_a_later_mart_leaves_all_as_they_were(spark, tmp_path):
+    """Each line fits its type, the sum of an order doesn't: nothing of the second build is committed."""
+    from tidemill.sources.versioned import VersionedTable
+    from tidemill.streaming.bronze_silver import Lakehouse
+
+    root, ddl = str(tmp_path / "work"), "event_id string, event_type string, customer_id string, product_id string, order_id string, quantity int, price string, country string, event_timestamp timestamp_ntz, ingestion_timestamp timestamp_ntz"
+    row = lambda n, q, p: (f"5021dc2f-001f-4627-a4be-0b543624c79{n}", "purchase", "c", "p", "o", q, p, "X", T, T)
+    silver = Lakehouse(spark, f"file://{root}/lake").silver
+    silver.append(spark.createDataFrame([row(1, 2, "1.005")], ddl))
+    cli.build_gold(spark, root)
+    tables = {n: VersionedTable(spark, f"file://{root}/gold/{n}") for n in ("fact_order_items", "fact_orders", "daily_sales", "dim_customer")}
+    before = {n: t.versions() for n, t in tables.items()}
+    silver.append(spark.createDataFrame([row(n, 1_000_000, "9999999999.99") for n in (2, 3)], ddl))
+    with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE"):
+        cli.build_gold(spark, root)
+    assert {n: t.versions() for n, t in tables.items()} == before
+    assert str(tables["fact_orders"].read().first().order_total) == "2.02" and silver.read().count() == 3
+
+
+def test_failed_runs_report_failure():
+    run = dict.fromkeys(ops.COUNTS, 0) | {"run_id": "r", "status": "FAILED"}
+    assert "tidemill_pipeline_failed 1" in ops.metrics_text(run, alerts=1)
+    text = ops.incident_report(run, [{"metric": "pipeline_failure", "value": 1.0, "threshold": 0.0, "severity": "critical"}])
+    assert "cause:" in text and text == ops.incident_report(run, [{"metric": "pipeline_failure", "value": 1.0, "threshold": 0.0, "severity": "critical"}])
+
+
+def test_age_label():
+    assert [ops.age_label(T, T.replace(**k)) for k in ({"minute": 0}, {"minute": 1}, {"minute": 59}, {"hour": 5, "minute": 59}, {"day": 2}, {"year": 2025})] == [
+        "just now", "1 minute ago", "59 minutes ago", "5 hours ago", "1 day ago", "just now",
+    ]

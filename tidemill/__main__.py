@@ -1,4 +1,4 @@
-"""Command line: python -m tidemill produce|process|gold|status|reset --root FOLDER."""
+"""Command line: python -m tidemill init|produce|process|gold|status|export|reset --root FOLDER."""
 
 from __future__ import annotations
 
@@ -62,10 +62,10 @@ def process(spark, root: str) -> dict:
     except Exception as e:
         ledger.move(run_id, ops.FAILED, now, str(e))
         raise
-    run = {"run_id": run_id, "status": ops.SUCCESS, **counts}
+    ended = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
+    run = {"run_id": run_id, "status": ops.SUCCESS, "duration_seconds": (ended - now).total_seconds(), **counts}
     found = [r.asDict() for r in kpi.alerts(kpi.run_rates(ledger.read().where(F.col("run_id") == run_id))).collect()]
-    ops.write_atomic(f"{root}/metrics.prom", ops.metrics_text(run))
-    ops.write_atomic(f"{root}/incident.txt", ops.incident_report(run, found))
+    ops.publish(root, run, found)
     return run
 
 
@@ -81,8 +81,22 @@ def build_gold(spark, root: str) -> str:
     marts = {"fact_order_items": items, "fact_orders": orders, "daily_sales": sales, "dim_customer": gold.dim_customer_from_events(stg)}
     # all are computed and checked before the first commit: a failed build leaves the earlier marts as they were
     marts = {name: materialize(frame) for name, frame in marts.items()}
-    orders, sales = marts["fact_orders"], marts["daily_sales"]
-    document = ops.snapshot(kpi.summary(orders), sales, kpi.by_country(orders), kpi.by_product(marts["fact_order_items"]))
+    items, orders, sales, customers = (marts[n] for n in ("fact_order_items", "fact_orders", "daily_sales", "dim_customer"))
+    n, money = F.count(F.lit(1)), lambda c: F.coalesce(F.sum(c), F.lit(0)).cast(gold.TOTAL)
+    bought = gold.purchases(stg)
+    totals = kpi.reconcile(
+        {
+            "silver_items": (bought, n), "gold_items": (items, n), "silver_orders": (bought.select("order_id").distinct(), n), "gold_orders": (orders, n),
+            "silver_revenue": (bought, money("line_total")), "gold_revenue": (orders, money("order_total")), "daily_revenue": (sales, money("revenue")),
+        }
+    ).first().asDict()
+    ops.reconcile_or_fail(totals, [("silver_items", "gold_items"), ("silver_orders", "gold_orders"), ("silver_revenue", "gold_revenue"), ("gold_revenue", "daily_revenue")])
+    now = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None, microsecond=0)
+    health = gold.inventory_health(stg, F.lit(now).cast("timestamp_ntz"))
+    document = ops.snapshot(
+        kpi.summary(orders), sales, kpi.by_country(orders), kpi.by_product(items), kpi.by_customer(gold.customer_360(customers, orders)), kpi.inventory_top(health),
+        kpi.per_minute(silver).orderBy(F.col("minute").desc()).limit(60), totals, {"generated_at": now.isoformat(), "tables": sorted(marts)},
+    )
     if wrong := ops.validate_snapshot(document):
         raise ops.Unreconciled("; ".join(wrong))
     for name, frame in marts.items():
@@ -94,7 +108,7 @@ def build_gold(spark, root: str) -> str:
 def reset(root: str) -> None:
     """Delete a folder that this program made; anything else is refused."""
     there = set(os.listdir(root)) if os.path.isdir(root) else set()
-    known = {"inbox", "lake", "ledger", "checkpoints", "gold", "metrics.prom", "incident.txt", "snapshot.json", "export"}
+    known = {"inbox", "lake", "ledger", "checkpoints", "gold", "metrics.prom", "incident.txt", "latest.json", "alerts.jsonl", "snapshot.json", "export"}
     if os.path.abspath(root) in ("/", os.path.expanduser("~")) or there - known:
         raise ValueError(f"{root} is not a folder of this program")
     shutil.rmtree(root, ignore_errors=True)
@@ -102,7 +116,7 @@ def reset(root: str) -> None:
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser("tidemill")
-    parser.add_argument("verb", choices=("produce", "process", "gold", "status", "export", "reset"))
+    parser.add_argument("verb", choices=("init", "produce", "process", "gold", "status", "export", "reset"))
     parser.add_argument("--root", required=True)
     parser.add_argument("--count", type=int, default=100)
     parser.add_argument("--scenario", choices=generator.SCENARIOS, default="normal")
@@ -112,7 +126,10 @@ def main(argv: list[str] | None = None) -> None:
     if args.verb == "reset":
         return reset(root)
     spark = local_session()
-    if args.verb == "produce":
+    if args.verb == "init":
+        os.makedirs(f"{root}/inbox", exist_ok=True)
+        ops.Ledger(spark, f"file://{root}/ledger")
+    elif args.verb == "produce":
         print(produce(spark, root, args.count, args.scenario, args.seed))
     elif args.verb == "process":
         print(process(spark, root))
@@ -124,6 +141,9 @@ def main(argv: list[str] | None = None) -> None:
         house = bronze_silver.Lakehouse(spark, f"file://{root}/lake")
         landing.export_ordered(house.silver.read(), f"file://{root}/export/silver", ["event_id"])
         landing.export_ordered(house.bronze.read(), f"file://{root}/export/bronze", ["topic", "kafka_partition", "kafka_offset"])
+        for name, table, order in (("quarantine", house.quarantine, ["topic", "kafka_partition", "kafka_offset"]), ("audit", house.audit, ["checkpoint_namespace", "batch_id"])):
+            if table.exists():
+                landing.export_ordered(table.read(), f"file://{root}/export/{name}", order)
 
 
 if __name__ == "__main__":

@@ -47,3 +47,9 @@ def canonical_uuid(text: Column) -> Column:
     """Lower-case dashed form of any accepted spelling, else null."""
     digits = uuid_hex(text)
     return F.when(digits.isNotNull(), dashed(digits))
+
+
+def hash_bucket(text: Column, buckets: int) -> Column:
+    """A bucket from 0 by the first eight bytes of the text's SHA-256 as an unsigned number; null stays null."""
+    number = F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, 10).cast("decimal(20,0)")
+    return (number % buckets).cast("int")

@@ -18,6 +18,7 @@ they hold at no time; a null key is an entity of its own; an empty table gives n
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.session import materialize
+from tidemill.sources.versioned import VersionedTable
 
 
 def running(frame: DataFrame, keys: Sequence[str], order: str, block: str, specs: dict[str, tuple[str, str, Column]]) -> DataFrame:
@@ -193,6 +195,31 @@ def version_starts(book: DataFrame, keys: Sequence[str], absent: str | None = No
     return starts.select(*keys, F.col("__at.valid_from").alias("valid_from"))
 
 
+def merge_snapshot(table: VersionedTable, current: DataFrame, keys: Sequence[str], attributes: Sequence[str], at: datetime.datetime) -> dict:
+    """Keep a history by merging: the keys, attributes, valid_from, valid_to (null while current). Returns the merge's metrics.
+
+    Current rows whose attributes changed are closed at ``at`` and opened anew, new keys are opened, and keys that are
+    missing stay as they are. Only open rows are compared, and nothing is written if nothing changed. A second change at
+    the same time replaces the first. ``current`` needs one row per key.
+    """
+    moment = F.lit(at).cast("timestamp_ntz")
+    opened = current.select(*keys, *attributes, moment.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"))
+    if not table.exists():
+        return table.overwrite(opened)
+    held = table.read().where(F.col("valid_to").isNull()).select(*(F.col(k).alias(f"__k_{k}") for k in keys), *(F.col(a).alias(f"__a_{a}") for a in attributes), F.col("valid_from").alias("__from"))
+    on, same = None, F.lit(True)
+    for k in keys:
+        one = F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+        on = one if on is None else on & one
+    for a in attributes:
+        same = same & F.col(a).eqNullSafe(F.col(f"__a_{a}"))
+    due = materialize(opened.join(held, on, "left").where(F.col("__from").isNull() | ~same))
+    closed = due.where(F.col("__from") < moment).select(
+        *keys, *(F.col(f"__a_{a}").alias(a) for a in attributes), F.col("__from").alias("valid_from"), moment.alias("valid_to")
+    )
+    return table.merge_current(due.select(*opened.columns).unionByName(closed), [*keys, "valid_from"])
+
+
 def snapshots_to_updates(snapshots: DataFrame, keys: Sequence[str], taken: str, attributes: Sequence[str]) -> DataFrame:
     """Periodic snapshots as updates: the keys, taken, attributes, absent. A key missing from the next snapshot gets an
     update with absent = true on that date, so its return starts a new version.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 import os
 import re
@@ -51,23 +52,50 @@ class Ledger:
         return self.table.read()
 
 
-def metrics_text(run: dict, prefix: str = "tidemill") -> str:
-    """Prometheus text of one run: counts by status and the three rates."""
+def metrics_text(run: dict, prefix: str = "tidemill", alerts: int | None = None) -> str:
+    """Prometheus text of one run: counts by status, the three rates, failure, duration (if known) and number of alerts."""
     read = run["records_read"]
     lines = [f"# TYPE {prefix}_records_total gauge"]
     lines += [f'{prefix}_records_total{{status="{c.removeprefix("records_")}"}} {run[c]}' for c in COUNTS]
     for name, c in (("duplicate_rate", "records_duplicate"), ("rejection_rate", "records_rejected"), ("late_event_rate", "records_late")):
         lines += [f"# TYPE {prefix}_{name} gauge", f"{prefix}_{name} {run[c] / read if read else 0.0}"]
+    gauges = {"pipeline_failed": int(run.get("status", SUCCESS) != SUCCESS), "pipeline_duration_seconds": run.get("duration_seconds"), "alerts": alerts}
+    for name, value in gauges.items():
+        if value is not None:
+            lines += [f"# TYPE {prefix}_{name} gauge", f"{prefix}_{name} {value}"]
     return "\n".join(lines) + "\n"
 
 
+def publish(folder: str, run: dict, alerts: Iterable[dict]) -> None:
+    """The metrics files of a run: metrics.prom, latest.json (run and alerts), alerts.jsonl (one line more per alert) and incident.txt."""
+    alerts = list(alerts)
+    write_atomic(f"{folder}/metrics.prom", metrics_text(run, alerts=len(alerts)))
+    write_atomic(f"{folder}/latest.json", json.dumps({"run": run, "alerts": alerts}, sort_keys=True, allow_nan=False, default=str))
+    write_atomic(f"{folder}/incident.txt", incident_report(run, alerts))
+    if alerts:
+        with open(f"{folder}/alerts.jsonl", "a", encoding="utf-8") as f:
+            f.writelines(json.dumps(a, sort_keys=True, allow_nan=False, default=str) + "\n" for a in alerts)
+
+
+#: What each alert points to, and what to do about it.
+_ADVICE = {
+    "pipeline_failure": ("the run did not end well; its message in the ledger has the error", "mend the error and run again: committed input is not read twice"),
+    "duplicate_rate": ("messages were sent again, by a producer or after a restart", "look at the producer's retries; copies are left out of Silver meanwhile"),
+    "rejection_rate": ("payloads break the event contract", "look at the quarantine by error type and agree on the contract with the sender"),
+    "late_event_rate": ("events arrive more than 30 minutes after they happened", "look at the sender's clock and at the backlog of the transport"),
+}
+
+
 def incident_report(run: dict, alerts: Iterable[dict]) -> str:
     """What happened, from the alerts of one run: the same text for the same numbers."""
     found = sorted(alerts, key=lambda a: (a["severity"] != "critical", a["metric"]))
     if not found:
         return f"Run {run['run_id']}: no alert.\n"
     lines = [f"Run {run['run_id']} ({run['status']}): {len(found)} alert(s)."]
-    lines += [f"- {a['severity']}: {a['metric']} is {a['value']:.4f}, above {a['threshold']:.4f}" for a in found]
+    for a in found:
+        lines.append(f"- {a['severity']}: {a['metric']} is {a['value']:.4f}, above {a['threshold']:.4f}")
+        if a["metric"] in _ADVICE:
+            lines += [f"  cause: {_ADVICE[a['metric']][0]}", f"  action: {_ADVICE[a['metric']][1]}"]
     lines.append(f"Read {run['records_read']}, written {run['records_written']}, duplicate {run['records_duplicate']}, rejected {run['records_rejected']}, late {run['records_late']}.")
     return "\n".join(lines) + "\n"
 
@@ -112,18 +140,39 @@ def reconcile_or_fail(row: dict, equal: Iterable[tuple[str, str]], tolerance: fl
             raise Unreconciled(f"{a} is {row[a]}, {b} is {row[b]}")
 
 
-def snapshot(kpis: DataFrame, daily: DataFrame, countries: DataFrame, products: DataFrame) -> str:
-    """The dashboard document as JSON: small aggregates only, assembled by Spark, read as one row."""
+#: Parts of a dashboard document that may be there beside the four that must.
+_MORE = {"customers", "inventory", "eventRate", "reconciliation", "metadata"}
+
+
+def snapshot(
+    kpis: DataFrame, daily: DataFrame, countries: DataFrame, products: DataFrame, customers: DataFrame | None = None, inventory: DataFrame | None = None,
+    event_rate: DataFrame | None = None, reconciliation: dict | None = None, metadata: dict | None = None,
+) -> str:
+    """The dashboard document as JSON: reports of bounded size only (days, minutes of a window, top lists), each read as one row."""
     rows = lambda f, order: f.agg(F.to_json(F.sort_array(F.collect_list(F.struct(order, *[c for c in f.columns if c != order])))).alias("j")).first()["j"]
     parts = {"kpis": kpis.select(F.to_json(F.struct("*")).alias("j")).first()["j"], "dailySales": rows(daily, "order_date"), "countries": rows(countries, "country"), "products": rows(products, "product_id")}
-    return json.dumps({k: json.loads(v) for k, v in parts.items()}, sort_keys=True)
+    for name, frame, order in (("customers", customers, "customer_id"), ("inventory", inventory, "product_id"), ("eventRate", event_rate, "minute")):
+        if frame is not None:
+            parts[name] = rows(frame, order)
+    made = {k: json.loads(v) for k, v in parts.items()} | {k: v for k, v in (("reconciliation", reconciliation), ("metadata", metadata)) if v is not None}
+    return json.dumps(made, sort_keys=True, allow_nan=False, default=str)
+
+
+def age_label(then: datetime.datetime, now: datetime.datetime) -> str:
+    """How old a snapshot is, in words: whole minutes, hours or days; the future counts as just now."""
+    minutes = int((now - then).total_seconds() // 60)
+    for size, name in ((1440, "day"), (60, "hour"), (1, "minute")):
+        if minutes >= size:
+            n = minutes // size
+            return f"{n} {name}{'s' if n > 1 else ''} ago"
+    return "just now"
 
 
 def validate_snapshot(document: str, cents: float = 0.005) -> list[str]:
     """What is wrong with a snapshot: unknown or missing parts, days out of order, sums that differ from the totals."""
     data = json.loads(document)
     wanted = {"kpis", "dailySales", "countries", "products"}
-    wrong = [f"missing {k}" for k in sorted(wanted - data.keys())] + [f"unknown {k}" for k in sorted(data.keys() - wanted)]
+    wrong = [f"missing {k}" for k in sorted(wanted - data.keys())] + [f"unknown {k}" for k in sorted(data.keys() - wanted - _MORE)]
     if wrong:
         return wrong
     days = [d["order_date"] for d in data["dailySales"]]

@@ -71,9 +71,10 @@ def fact_order_items(items: DataFrame, orders: DataFrame) -> DataFrame:
 
 def fact_orders_from_events(stg: DataFrame) -> DataFrame:
     return purchases(stg).groupBy("order_id").agg(
-        F.max("customer_id").alias("customer_id"),
+        # an empty text is no value
+        F.max(F.nullif("customer_id", F.lit(""))).alias("customer_id"),
         F.min("event_timestamp").alias("order_timestamp"),
-        F.max("country").alias("country"),
+        F.max(F.nullif("country", F.lit(""))).alias("country"),
         F.sum("quantity").alias("units"),
         F.sum("line_total").cast(TOTAL).alias("order_total"),
         F.max("ingestion_timestamp").alias("ingestion_timestamp"),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import contract
-from tidemill.functions.identifiers import uuid_bytes
-from tidemill.operators import dedup, history, quality
+from tidemill.functions.identifiers import hash_bucket, uuid_bytes
+from tidemill.operators import checks, dedup, history, quality
 from tidemill.plans import contract_sql, gold, kpi
 from tidemill.plans.problems_sql import _uuid
 from tidemill.session import work_path
@@ -73,7 +75,7 @@ FOI = f"""{ORD}, {ITM}, foi AS (SELECT i._record_hash AS order_item_id, i.order_
   greatest(i.ingestion_timestamp, o.ingestion_timestamp) AS ingestion_timestamp FROM itm i JOIN ord o ON i.order_id = o.order_id)"""
 FO = f"""{FOI}, fo AS (SELECT o.order_id, o.customer_id, o.order_timestamp, o.country, CAST(sum(f.quantity) AS BIGINT) AS units, CAST(sum(f.line_total) AS DECIMAL(18,2)) AS order_total,
   max(f.ingestion_timestamp) AS ingestion_timestamp FROM ord o JOIN foi f ON o.order_id = f.order_id GROUP BY ALL)"""
-FOE = f"""{BUY}, foe AS (SELECT order_id, max(customer_id) AS customer_id, min(event_timestamp) AS order_timestamp, max(country) AS country, CAST(sum(quantity) AS BIGINT) AS units,
+FOE = f"""{BUY}, foe AS (SELECT order_id, max(nullif(customer_id, '')) AS customer_id, min(event_timestamp) AS order_timestamp, max(nullif(country, '')) AS country, CAST(sum(quantity) AS BIGINT) AS units,
   CAST(sum(line_total) AS DECIMAL(18,2)) AS order_total, max(ingestion_timestamp) AS ingestion_timestamp FROM buy GROUP BY order_id)"""
 _DAILY = """SELECT CAST(order_timestamp AS DATE) AS order_date, count(*) AS orders, CAST(sum(units) AS BIGINT) AS units, CAST(sum(order_total) AS DECIMAL(18,2)) AS revenue,
   CAST(sum(order_total) AS DOUBLE) / count(*) AS average_order_value, max(ingestion_timestamp) AS ingestion_timestamp FROM {t} GROUP BY 1"""
@@ -373,15 +375,18 @@ def half_up_line_totals(spark, sf):
 
 
 @query(
-    f"""WITH c AS (SELECT customer_id FROM customers ORDER BY customer_id LIMIT 500), {ORD}, {ITM}, o AS (SELECT * FROM ord WHERE customer_id IN (SELECT customer_id FROM c))
-SELECT i._record_hash, i.order_id, i.product_id FROM itm i WHERE i.order_id IN (SELECT order_id FROM o) AND i.product_id IN (SELECT product_id FROM products)"""
+    f"""WITH c AS (SELECT customer_id FROM customers ORDER BY customer_id LIMIT 2500), {ORD}, {ITM}, {PRD}, o AS (SELECT * FROM ord WHERE customer_id IN (SELECT customer_id FROM c) ORDER BY order_id LIMIT 200),
+p AS (SELECT product_id FROM prd ORDER BY product_id LIMIT 60)
+SELECT i._record_hash, i.order_id, i.product_id FROM itm i WHERE i.order_id IN (SELECT order_id FROM o) AND i.product_id IN (SELECT product_id FROM p) ORDER BY i.order_id, i._record_hash LIMIT 400"""
 )
 def bounded_items(spark, sf):
-    """A relational subset: the first 500 customers by id, all their orders, and items of those with a known product."""
-    customers = load(spark, sf, "customers").select("customer_id").orderBy("customer_id").limit(500)
-    orders = _orders(spark, sf).join(customers, "customer_id", "left_semi")
-    items = _items(spark, sf).join(orders, "order_id", "left_semi")
-    return items.join(load(spark, sf, "products").select("product_id"), "product_id", "left_semi").select("_record_hash", "order_id", "product_id")
+    """A relational subset with a cap on each table, which is its feature: the first customers by id, then their first
+    orders, the first products, and the first items of both."""
+    customers = load(spark, sf, "customers").select("customer_id").orderBy("customer_id").limit(2500)
+    orders = _orders(spark, sf).join(customers, "customer_id", "left_semi").orderBy("order_id").limit(200)
+    products = _products(spark, sf).select("product_id").orderBy("product_id").limit(60)
+    items = _items(spark, sf).join(orders, "order_id", "left_semi").join(products, "product_id", "left_semi")
+    return items.orderBy("order_id", "_record_hash").limit(400).select("_record_hash", "order_id", "product_id")
 
 
 # incremental runs and merges -----------------------------------------------------------------------------------------
@@ -446,18 +451,20 @@ def except_unchanged(spark, sf):
     return copy.subtract(load(spark, sf, "daily_sales").select(*copy.columns))
 
 
-@query(f"WITH {ORD} SELECT order_date, orders FROM daily_sales s WHERE NOT EXISTS (SELECT 1 FROM ord WHERE CAST(order_timestamp AS DATE) = s.order_date)")
+@query(f"WITH {ORD} SELECT order_date, orders FROM daily_sales s WHERE NOT EXISTS (SELECT 1 FROM ord WHERE CAST(order_timestamp AS DATE) = s.order_date AND is_cancelled = 'true')")
 def prune_empty_dates(spark, sf):
-    return gold.without_parent(load(spark, sf, "daily_sales"), _orders(spark, sf)).select("order_date", "orders")
+    """Days to delete from a mart of cancelled orders: those without any."""
+    cancelled = gold.current_orders(load(spark, sf, "silver_orders"), ("customer_id", "order_timestamp", "country", "is_cancelled")).where(F.col("is_cancelled") == "true")
+    return gold.without_parent(load(spark, sf, "daily_sales"), cancelled).select("order_date", "orders")
 
 
 @query(
-    f"""SELECT _record_hash, ingestion_timestamp FROM order_items WHERE ingestion_timestamp < TIMESTAMP '{SECOND}' UNION ALL
-SELECT _record_hash, ingestion_timestamp FROM order_items WHERE ingestion_timestamp >= TIMESTAMP '{SECOND}' AND _record_hash NOT IN (SELECT _record_hash FROM order_items WHERE ingestion_timestamp < TIMESTAMP '{SECOND}')"""
+    f"""SELECT * FROM order_items WHERE ingestion_timestamp < TIMESTAMP '{SECOND}' UNION ALL
+SELECT * FROM order_items WHERE ingestion_timestamp >= TIMESTAMP '{SECOND}' AND _record_hash NOT IN (SELECT _record_hash FROM order_items WHERE ingestion_timestamp < TIMESTAMP '{SECOND}')"""
 )
 def merge_insert_only(spark, sf):
     """Two deliveries, the second one twice: the repeat inserts nothing. Repeats within a delivery stay."""
-    first, second = _two_deliveries(load(spark, sf, "order_items").select("_record_hash", "ingestion_timestamp"))
+    first, second = _two_deliveries(load(spark, sf, "order_items"))
     table = _table(spark)
     table.merge_insert_only(first, ["_record_hash"])
     table.merge_insert_only(second, ["_record_hash"])
@@ -482,13 +489,22 @@ def merge_upsert(spark, sf):
     first, second = _two_deliveries(load(spark, sf, "silver_orders"))
     table = _table(spark)
     for delivery in (first, second):
-        table.merge_current(gold.current_orders(delivery, ("customer_id", "order_timestamp", "country", "is_cancelled")).select(*columns), ["order_id"])
+        table.merge_upsert(gold.current_orders(delivery, ("customer_id", "order_timestamp", "country", "is_cancelled")).select(*columns), ["order_id"])
     return table.read()
 
 
-@query(f"WITH {STG} SELECT event_id, ingestion_timestamp FROM stg")
+_EVENT_COLUMNS = (
+    "event_type", "customer_id", "product_id", "order_id", "quantity", "price", "country", "search_query", "event_timestamp", "ingestion_timestamp", "source_topic", "pipeline_run_id",
+)
+
+
+@query(
+    f"SELECT * EXCLUDE (n) FROM (SELECT {_uuid('event_id')} AS event_id, {', '.join(_EVENT_COLUMNS)}, row_number() OVER (PARTITION BY {_uuid('event_id')} "
+    f"ORDER BY ingestion_timestamp NULLS FIRST, {', '.join(f'{c} NULLS FIRST' for c in _EVENT_COLUMNS)}) AS n FROM silver_events) WHERE n = 1"
+)
 def dedupe_first_arrival(spark, sf):
-    e = load(spark, sf, "silver_events").select(contract.canonical_uuid(F.col("event_id")).alias("event_id"), "ingestion_timestamp")
+    """Whole rows: of each event the one that arrived first, of equal ones the smallest."""
+    e = load(spark, sf, "silver_events").select(contract.canonical_uuid(F.col("event_id")).alias("event_id"), *_EVENT_COLUMNS)
     return dedup.dedupe_rows(e, ["event_id"], [F.col("ingestion_timestamp")])
 
 
@@ -515,13 +531,13 @@ def late_classification(spark, sf):
     return load(spark, sf, "silver_events").groupBy(F.when(late, "LATE_EVENT").otherwise("ACCEPTED").alias("verdict")).agg(F.count(F.lit(1)).alias("events"))
 
 
-@query(
-    """SELECT event_type, source_topic, count(*) AS events FROM silver_events WHERE source_topic IS DISTINCT FROM CASE WHEN event_type IN ('product_view', 'search', 'add_to_cart') THEN 'customer-events'
-WHEN event_type IN ('checkout', 'purchase', 'payment') THEN 'order-events' WHEN event_type = 'inventory_update' THEN 'inventory-events' END GROUP BY ALL"""
-)
+@query(contract_sql.ORACLE["topic_routing_mismatch"])
 def topic_routing_mismatch(spark, sf):
-    e = load(spark, sf, "silver_events")
-    return e.where(~F.col("source_topic").eqNullSafe(contract.expected_topic(F.col("event_type")))).groupBy("event_type", "source_topic").agg(F.count(F.lit(1)).alias("events"))
+    """Messages of a known type that came by another topic than their type's, whatever else is wrong with them."""
+    raw = load(spark, sf, "bronze_events")
+    told = raw.select("topic", F.try_variant_get(contract.whole_json(F.col("raw_payload")), "$.event_type", "string").alias("event_type"))
+    wrong = told.where(F.col("event_type").isin(*contract.TOPIC_OF) & ~F.col("topic").eqNullSafe(contract.expected_topic(F.col("event_type"))))
+    return wrong.groupBy("event_type", F.col("topic").alias("source_topic")).agg(F.count(F.lit(1)).alias("events"))
 
 
 @query(contract_sql.ORACLE["contract_verdicts"])
@@ -531,7 +547,7 @@ def contract_verdicts(spark, sf):
     return made.select("topic", "kafka_partition", "kafka_offset", "error_type", "event_timestamp")
 
 
-@query()
+@query(contract_sql.ORACLE["contract_classify"])
 def contract_classify(spark, sf):
     """Every raw message with its verdict: contract, topic, lateness."""
     made = contract.classify(load(spark, sf, "bronze_events"))
@@ -550,21 +566,23 @@ def header_lookup(spark, sf):
 
 
 def _runs(spark, sf) -> DataFrame:
-    e = load(spark, sf, "silver_events")
-    key = contract.canonical_uuid(F.col("event_id"))
-    late = F.col("event_timestamp") < F.col("ingestion_timestamp") - F.expr("INTERVAL 30 MINUTES")
-    return e.groupBy(F.col("pipeline_run_id").alias("run_id")).agg(
+    """One row per streaming run, its counts taken from what the contract says of each raw message."""
+    made = contract.classify(load(spark, sf, "bronze_events"))
+    ok = F.col("error_type").isNull()
+    return made.groupBy(F.col("stream_run_id").alias("run_id")).agg(
         F.lit("SUCCESS").alias("status"),
         F.count(F.lit(1)).alias("records_read"),
-        (F.count(F.lit(1)) - F.countDistinct(key)).alias("records_duplicate"),
-        F.lit(0).cast("long").alias("records_rejected"),
-        F.count_if(late).alias("records_late"),
+        (F.count_if(ok) - F.countDistinct(F.when(ok, F.col("event_id")))).alias("records_duplicate"),
+        F.count_if(F.col("error_type").isin(contract.SCHEMA_VALIDATION, contract.TOPIC_MISMATCH)).alias("records_rejected"),
+        F.count_if(F.col("error_type") == contract.LATE_EVENT).alias("records_late"),
         F.max("ingestion_timestamp").alias("completed_at"),
     )
 
 
-_RUNS = f"""runs AS (SELECT pipeline_run_id AS run_id, 'SUCCESS' AS status, count(*) AS records_read, count(*) - count(DISTINCT {_uuid('event_id')}) AS records_duplicate, CAST(0 AS BIGINT) AS records_rejected,
-  count(*) FILTER (WHERE event_timestamp < ingestion_timestamp - INTERVAL 30 MINUTE) AS records_late, max(ingestion_timestamp) AS completed_at FROM silver_events GROUP BY pipeline_run_id),
+_RUNS = f"""{contract_sql.VERDICTS}, runs AS (SELECT stream_run_id AS run_id, 'SUCCESS' AS status, count(*) AS records_read,
+  count(*) FILTER (WHERE error_type IS NULL) - count(DISTINCT CASE WHEN error_type IS NULL THEN event_key END) AS records_duplicate,
+  count(*) FILTER (WHERE error_type IN ('SCHEMA_VALIDATION', 'TOPIC_MISMATCH')) AS records_rejected, count(*) FILTER (WHERE error_type = 'LATE_EVENT') AS records_late,
+  max(ingestion_timestamp) AS completed_at FROM v GROUP BY stream_run_id),
 rates AS (SELECT *, records_duplicate::DOUBLE / records_read AS duplicate_rate, records_rejected::DOUBLE / records_read AS rejection_rate, records_late::DOUBLE / records_read AS late_event_rate FROM runs)"""
 
 
@@ -586,6 +604,102 @@ def latest_runs(spark, sf):
     return _runs(spark, sf).orderBy(F.col("completed_at").desc(), "run_id").limit(20).select("run_id", "completed_at", "records_read")
 
 
+@query(
+    """SELECT 'batch' AS stage, max(ingestion_timestamp) AS latest_success FROM silver_events UNION ALL SELECT 'stream', max(ingestion_timestamp) FROM bronze_events
+UNION ALL SELECT 'any', greatest((SELECT max(ingestion_timestamp) FROM silver_events), (SELECT max(ingestion_timestamp) FROM bronze_events))"""
+)
+def latest_success(spark, sf):
+    """The newest successful run of the batch and of the streaming stage."""
+    batch = load(spark, sf, "silver_events").groupBy("pipeline_run_id").agg(F.lit("SUCCESS").alias("status"), F.max("ingestion_timestamp").alias("completed_at"))
+    return checks.latest_success({"batch": batch, "stream": _runs(spark, sf)})
+
+
+@query("SELECT count(*) AS read, count(*) FILTER (WHERE topic IS NULL OR kafka_partition IS NULL OR kafka_offset IS NULL OR kafka_timestamp IS NULL OR stream_run_id IS NULL) AS incomplete FROM bronze_events")
+def transport_nulls(spark, sf):
+    return checks.transport_nulls(load(spark, sf, "bronze_events"))
+
+
+@query(
+    """WITH g AS (SELECT scenario, count(*) AS records FROM bronze_events WHERE scenario IS NOT NULL GROUP BY scenario), e AS (SELECT * FROM (VALUES ('normal', 1000), ('traffic-spike', 0), ('nothing', 0)) AS t(scenario, expected))
+SELECT coalesce(e.scenario, g.scenario) AS scenario, CAST(coalesce(expected, 0) AS BIGINT) AS expected, coalesce(records, 0) AS records, coalesce(expected, 0) = coalesce(records, 0) AS ok FROM e FULL JOIN g ON e.scenario = g.scenario"""
+)
+def scenario_verdicts(spark, sf):
+    """Records per scenario against expected numbers; scenarios on either side come out."""
+    found = load(spark, sf, "bronze_events").where(F.col("scenario").isNotNull()).groupBy("scenario").agg(F.count(F.lit(1)).alias("records"))
+    return checks.verify_scenarios(found, {"normal": 1000, "traffic-spike": 0, "nothing": 0})
+
+
+def _tested(name: str, table: str, kind: str, column: str) -> str:
+    """One data test in SQL over the CTEs below."""
+    of = {"unique": f"(SELECT {column} FROM {table} WHERE {column} IS NOT NULL GROUP BY {column} HAVING count(*) > 1)", "not_null": f"{table} WHERE {column} IS NULL"}
+    return f"SELECT '{name}.{kind}:{column}' AS check, count(*) AS failures FROM {of.get(kind) or column}"
+
+
+_KINDS = "'product_view', 'search', 'add_to_cart', 'checkout', 'purchase', 'payment', 'inventory_update'"
+_TESTS = " UNION ALL ".join(
+    [
+        *(_tested(n, t, k, c) for n, t, c in (("stg_events", "stg", "event_id"), ("dim_customer", "dimc", "customer_id"), ("dim_product", "prd", "product_id"), ("dim_date", "days", "date_key"), ("fact_orders", "fo", "order_id"), ("fact_order_items", "foi", "order_item_id"), ("daily_sales", "sales", "order_date")) for k in ("unique", "not_null")),
+        *(_tested(n, t, "not_null", c) for n, t, c in (("stg_events", "stg", "event_type"), ("fact_orders", "fo", "order_total"), ("fact_order_items", "foi", "quantity"), ("fact_order_items", "foi", "unit_price"))),
+        "SELECT 'dim_product.not_null:average_price', count(*) FROM prd WHERE unit_price IS NULL",
+        f"SELECT 'stg_events.accepted:event_type', count(*) FROM stg WHERE event_type NOT IN ({_KINDS})",
+        "SELECT 'fact_orders.relationship:customer_id', count(*) FROM fo WHERE customer_id IS NOT NULL AND customer_id NOT IN (SELECT customer_id FROM dimc)",
+        "SELECT 'fact_order_items.relationship:product_id', count(*) FROM foi WHERE product_id IS NOT NULL AND product_id NOT IN (SELECT product_id FROM prd)",
+        "SELECT 'fact_order_items.relationship:order_id', count(*) FROM foi WHERE order_id NOT IN (SELECT order_id FROM fo)",
+        "SELECT 'fact_orders.rows:order_total < 0', count(*) FROM fo WHERE order_total < 0", "SELECT 'fact_order_items.rows:unit_price < 0', count(*) FROM foi WHERE unit_price < 0",
+        "SELECT 'fact_order_items.rows:quantity <= 0', count(*) FROM foi WHERE quantity <= 0",
+    ]
+)
+
+
+@query(
+    f"WITH {STG}, {FO}, {PRD}, {DIMC}, days AS (SELECT CAST(unnest(generate_series(min(CAST(order_timestamp AS DATE)), max(CAST(order_timestamp AS DATE)), INTERVAL 1 DAY)) AS DATE) AS date_key FROM fo), "
+    f"sales AS ({_DAILY.format(t='fo')}) {_TESTS}"
+)
+def data_tests(spark, sf):
+    """The 23 generic and 3 singular tests of the marts, with their failures."""
+    items, orders = _items(spark, sf), _orders(spark, sf)
+    facts = gold.fact_orders(items, orders)
+    return checks.run(
+        {
+            "stg_events": _stg(spark, sf), "dim_customer": gold.dim_customer(load(spark, sf, "customers"), orders), "dim_product": gold.dim_product(_products(spark, sf), items, orders),
+            "dim_date": gold.dim_date(facts), "fact_orders": facts, "fact_order_items": gold.fact_order_items(items, orders), "daily_sales": gold.daily_sales(facts),
+        }
+    )
+
+
+_TAKEN = """cal AS (SELECT DISTINCT snapshot_date AS d FROM dim_product), k AS (SELECT d, row_number() OVER (ORDER BY d) AS k, count(*) OVER () AS n FROM cal),
+taken AS (SELECT DISTINCT product_id, average_price, snapshot_date AS d FROM dim_product WHERE snapshot_date IN (SELECT d FROM k WHERE k IN (1, (n + 1) // 2, n))),
+m AS (SELECT *, lag(d) OVER w AS pd, lag(average_price) OVER w AS pp FROM taken WINDOW w AS (PARTITION BY product_id ORDER BY d)),
+starts AS (SELECT product_id, average_price, CAST(d AS TIMESTAMP) AS valid_from FROM m WHERE pd IS NULL OR average_price IS DISTINCT FROM pp)"""
+
+
+def _snapshots(spark, sf) -> tuple[VersionedTable, DataFrame]:
+    """A history kept by merging the first, the middle and the last snapshot of the dimension, the last one twice."""
+    dim, table = load(spark, sf, "dim_product"), _table(spark)
+    days = [r["d"] for r in dim.select(F.col("snapshot_date").alias("d")).distinct().orderBy("d").collect()]
+    for d in (*dict.fromkeys((days[0], days[(len(days) + 1) // 2 - 1], days[-1])), days[-1]):
+        now = dim.where(F.col("snapshot_date") == F.lit(d)).select("product_id", "average_price").distinct()
+        history.merge_snapshot(table, now, ["product_id"], ["average_price"], datetime.datetime.combine(d, datetime.time()))
+    return table, dim
+
+
+@query(f"WITH {_TAKEN} SELECT *, lead(valid_from) OVER (PARTITION BY product_id ORDER BY valid_from) AS valid_to FROM starts")
+def scd2_merged(spark, sf):
+    return _snapshots(spark, sf)[0].read()
+
+
+@query(f"WITH {_TAKEN} SELECT product_id, count(*) AS versions, CAST(1 AS BIGINT) AS open_versions, count(*) >= 2 AS ok FROM starts GROUP BY product_id")
+def scd2_acceptance(spark, sf):
+    """Products by whether their merged history has two versions or more, and exactly one current."""
+    return checks.accept_history(_snapshots(spark, sf)[0].read(), "product_id")
+
+
+@query("SELECT o_orderkey, CAST(('0x' || substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 16))::UBIGINT % 97 AS INTEGER) AS bucket FROM orders")
+def hash_buckets(spark, sf):
+    """Orders dealt to 97 buckets by the first eight bytes of a SHA-256."""
+    return load(spark, sf, "orders").select("o_orderkey", hash_bucket(F.col("o_orderkey").cast("string"), 97).alias("bucket"))
+
+
 def _stream(spark, sf, times: int = 1):
     from tidemill.sources.stream import parquet_files
     from tidemill.sources.tables import table_path
@@ -599,7 +713,7 @@ def _stream(spark, sf, times: int = 1):
     return house
 
 
-@query()
+@query(contract_sql.ORACLE["stream_silver"])
 def stream_silver(spark, sf):
     """Silver after streaming all raw messages through contract, quarantine and merge."""
     return _stream(spark, sf).silver.read().select("event_id", "event_type", "customer_id", "product_id", "order_id", "quantity", "price", "country", "event_timestamp", "ingestion_timestamp")

@@ -219,7 +219,11 @@ class VersionedTable:
         source = materialize(source)
         return self._insert(source.join(self._present(target, source, keys), self._same(keys, "t"), "left_anti"), "MERGE INSERT")
 
-    def merge_current(self, source: DataFrame, keys: Sequence[str], changed: Sequence[str] | None = None) -> dict:
+    def merge_upsert(self, source: DataFrame, keys: Sequence[str]) -> dict:
+        """Replace rows whose key matches, whatever they hold; insert the rest. As merge_current otherwise."""
+        return self.merge_current(source, keys, always=True)
+
+    def merge_current(self, source: DataFrame, keys: Sequence[str], changed: Sequence[str] | None = None, always: bool = False) -> dict:
         """Replace rows whose key matches and whose ``changed`` columns differ (all, if none are named); insert the rest.
 
         The source needs one row per key (ValueError otherwise). Only files with a replaced row are rewritten.
@@ -234,7 +238,7 @@ class VersionedTable:
         compared = [c for c in (changed or [c for c in source.columns if c not in keys]) if c in target.columns]
         marks = target.select(*(F.col(f"`{k}`").alias(f"t_{k}") for k in keys), *(F.col(f"`{c}`").alias(f"u_{c}") for c in compared), *([F.col("_metadata.file_path").alias("__file")] if m["files"] else [F.lit("").alias("__file")]))
         met = source.join(marks, self._same(keys, "t"))
-        differs = F.lit(False)
+        differs = F.lit(always)
         for c in compared:
             differs = differs | ~F.col(f"`{c}`").eqNullSafe(F.col(f"u_{c}"))
         updates = materialize(met.where(differs).select(*(F.col(f"`{c}`") for c in source.columns), "__file"))

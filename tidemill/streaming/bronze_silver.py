@@ -88,7 +88,7 @@ def process_batch(house: Lakehouse, batch: DataFrame, batch_id: int, namespace:
     audit = spark.createDataFrame([values], AUDIT.rsplit(",", 1)[0]).withColumn("completed_at", F.current_timestamp())
     mine = (F.col("checkpoint_namespace") == namespace) & (F.col("batch_id") == batch_id)
     if house.audit.exists() and house.audit.read().where(mine).limit(1).count():
-        house.audit.merge_current(audit, ["checkpoint_namespace", "batch_id"])
+        house.audit.merge_upsert(audit, ["checkpoint_namespace", "batch_id"])
     else:
         house.audit.append(audit)
     return row
