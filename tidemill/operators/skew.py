@@ -4,9 +4,10 @@ Two-stage salted aggregation: rows of heavy keys get a salt, partial results are
 partials are merged by the key alone. Distinct values are salted by their own hash, so each lies in one salt and the
 partial distinct counts add up exactly.
 
-Which keys are heavy comes from counts that are combined before their shuffle: at most 1/share keys can have that
-share, so the list joined back is bounded by the parameter whatever the data. The salt is a hash of columns of the
-row, not rand(): a recomputed task gives the same rows to the same reducers.
+Which keys are heavy comes from one pass with a frequent-items sketch: a task keeps at most 1/share keys, the sketches are
+merged, and every key with that share is among those left. So nothing is shuffled by key to find out, the list joined
+back is bounded by the parameter whatever the data, and a key too many in it is salted needlessly, no more. The salt is
+a hash of columns of the row, not rand(): a recomputed task gives the same rows to the same reducers.
 
 Defined results: null is a key of its own; an empty table gives no rows; ties at the threshold count as heavy;
 repeated rows count as often as they are stored.
@@ -20,12 +21,13 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.session import materialize
+
 
 def heavy_keys(frame: DataFrame, key: str, share: float) -> DataFrame:
-    """Keys with at least this share of all rows, nulls counted in the total: at most 1/share rows."""
-    counts = frame.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total")).scalar()
-    return counts.where(F.col("n") >= F.lit(Decimal(str(share))) * total).select(F.col(key).alias("__heavy"))
+    """All keys with at least this share of all rows, and perhaps some with less: at most 1/share rows, as __heavy."""
+    found = frame.select(F.col(key).alias("k")).stat.freqItems(["k"], share)
+    return found.select(F.explode("k_freqItems").alias("__heavy")).distinct()
 
 
 def salted_aggregate(
@@ -40,7 +42,8 @@ def salted_aggregate(
 ) -> DataFrame:
     """Rows, sums, maxima and exact distinct counts per key: key, n, then the given names.
 
-    ``spread`` names the columns whose hash salts the rows of heavy keys; with one distinct column that column is used.
+    ``spread`` names the columns whose hash salts the rows of heavy keys (all columns if none are named); for a distinct
+    count its own column is used.
     """
     sums, maxima, distinct = dict(sums or {}), dict(maxima or {}), dict(distinct or {})
     flagged = frame.join(F.broadcast(heavy_keys(frame, key, share)), F.col(key).eqNullSafe(F.col("__heavy")), "left")
@@ -48,7 +51,7 @@ def salted_aggregate(
     is_heavy = F.col("__heavy").isNotNull() | F.col(key).isNull()
 
     def salt(columns: Sequence[str]) -> Column:
-        by = [F.col(c) for c in columns] or [F.spark_partition_id()]
+        by = [F.col(c) for c in columns or frame.columns]
         return F.when(is_heavy, F.pmod(F.xxhash64(*by), F.lit(salts))).otherwise(F.lit(0)).cast("int")
 
     staged = (
@@ -79,6 +82,7 @@ def salted_aggregate(
 
 def heavy_report(frame: DataFrame, key: str, share: float, spread: Sequence[str] = (), salts: int = 64) -> DataFrame:
     """Non-null keys with at least ``share`` of all rows: key, n; counted by the salted aggregation."""
-    counted = salted_aggregate(frame, key, spread=spread, share=share, salts=salts)
+    # one row per key, written out so that the total is taken from it without another pass
+    counted = materialize(salted_aggregate(frame, key, spread=spread, share=share, salts=salts))
     total = counted.agg(F.sum("n").alias("total")).scalar()
     return counted.where(F.col(key).isNotNull() & (F.col("n") >= F.lit(Decimal(str(share))) * total))
