@@ -1,3 +1,5 @@
+import unicodedata
+
 import hypothesis
 import hypothesis.strategies
 import pytest
@@ -60,13 +62,15 @@ _ODD = "aAbіе и́ё ﬁﬀ²№ßſẞΣσςϲ\u2126\u212a가ᄀ\u00a0\u2007\
 
 @hypothesis.given(hypothesis.strategies.lists(hypothesis.strategies.text(alphabet=_ODD, max_size=12), max_size=4))
 @hypothesis.settings(max_examples=400, deadline=None)
-def test_same_looks_have_the_same_form_and_joining_changes_nothing(texts):
+def test_same_looks_have_the_same_form_and_runs_change_nothing(texts):
     """No candidate is missed: the form of a text is that of what is seen. Columns give what single texts give."""
     abc = next(iter(lookalike._MADE.values()))
     seen = lookalike.visual_forms(texts, abc)
     assert seen == [lookalike.visual_forms([t], abc)[0] for t in texts]
     made = lookalike.consistent_forms(texts, abc)
     assert made == [lookalike.consistent_forms([t], abc)[0] for t in texts] == lookalike.consistent_forms(seen, abc)
+    # normalised run by run or as a whole
+    assert [unicodedata.normalize("NFC", t) for t in seen] == seen and [unicodedata.normalize("NFKC", t).casefold() for t in made] == made
 
 
 def test_pairs_and_classes(spark):

@@ -9,8 +9,9 @@ The letters come by rule from the Unicode confusables table of the library that
 another script than Latin, written left to right, whose prototype is that of one Latin letter. A letter without a dot
 is no i or j. Of Latin letters only the small capitals are mapped, since others can be told apart in usual fonts.
 
-Forms are made on the column: the distinct texts of a slice of a batch are joined by a character that none of them
-has, and every step is one call over all of them. Only digests of forms and texts are shuffled.
+Each distinct text of a batch is worked on once, and within the texts of a slice each distinct run of other characters
+than ASCII, together with the ASCII character before it, to which its marks may belong: normalisation never reaches
+beyond such a run. ASCII between the runs goes through whole-text calls. Only digests of forms and texts are shuffled.
 
 Defined results: null and empty texts have no form and match nothing; line ends CR LF, CR and LF are one; a
 joiner between pictographs stays in the visual form, since it changes the picture; byte-identical copies are no pair; a
@@ -46,8 +47,11 @@ ALIKE = ("<wide>", "<narrow>", "<noBreak>", "<isolated>", "<initial>", "<medial>
 DOTTED, BAR = "іјϳ", {"ӏ": "l"}
 # Hyphens that are drawn like the ASCII one.
 HYPHENS = "\u2010\u2011"
-_BLANKS = frozenset("\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u2028\u2029")
-#: Code points that stand for no character: the first free ones join texts and mark joiners that stay.
+_ASCII_BLANKS, _OTHER_BLANKS = "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f", "\x85\u2028\u2029"
+#: The consistent form of ASCII, but for line ends: a table that is applied in one pass.
+_ASCII_FORM = str.maketrans(_ASCII_BLANKS + string.ascii_uppercase, " " * len(_ASCII_BLANKS) + string.ascii_lowercase)
+_RUN = re.compile("[^\\x00-\\x7f]+")
+#: Code points that stand for no character: the first one that a run lacks marks joiners that stay.
 _NONCHARACTERS = [chr(c) for c in range(0xFDD0, 0xFDF0)] + [chr(p << 16 | c) for p in range(1, 17) for c in (0xFFFE, 0xFFFF)]
 #: Bytes of text worked on at once.
 SLICE = 4 << 20
@@ -105,7 +109,7 @@ def alphabet(spark: SparkSession) -> Alphabet:
     app = spark.sparkContext.applicationId
     if app not in _MADE:
         like = letters(spark) | dict.fromkeys(HYPHENS, "-")
-        to, spaces = {}, set(_BLANKS)
+        to, spaces = {}, set(_OTHER_BLANKS)
         for code in range(0x80, sys.maxunicode + 1):
             char = chr(code)
             form = unicodedata.decomposition(char)
@@ -120,25 +124,23 @@ def alphabet(spark: SparkSession) -> Alphabet:
 
 
 def _swap(text: str, to: dict[str, str]) -> str:
-    """Replace the characters of a table. Those that occur are looked for once; each is one call over the whole text."""
-    if text.isascii():
-        return text
-    for char in to.keys() & set(text):
-        text = text.replace(char, to[char])
-    return text
+    return "".join([to.get(c, c) for c in text])
 
 
-def _joined(texts: Sequence[str], work: Callable[[str, str], str]) -> list[str]:
-    """``work`` over all texts in one call: it gets them joined, and a character that none of them has."""
-    if not texts:
-        return []
-    used = set().union(*map(set, texts)) if any(not t.isascii() for t in texts) else set()
-    free = [c for c in _NONCHARACTERS if c not in used]
-    if len(texts) == 1:
-        return [work(texts[0], free[0] if free else "")]
-    if len(free) < 2:
-        return [x for t in texts for x in _joined([t], work)]
-    return work(free[0].join(texts), free[1]).split(free[0])
+def _by_runs(text: str, work: Callable[[str], str], known: dict[str, str]) -> str:
+    """``work`` on every run of other characters than ASCII with the ASCII character before it. ``known`` remembers runs."""
+    if text.isascii():
+        return text
+    out, at = [], 0
+    for run in _RUN.finditer(text):
+        begin = max(run.start() - 1, at)
+        key = text[begin : run.end()]
+        made = known.get(key)
+        if made is None:
+            made = known[key] = work(key)
+        out += (text[at:begin], made)
+        at = run.end()
+    return "".join(out) + text[at:]
 
 
 def _is_picture(char: str) -> bool:
@@ -148,42 +150,44 @@ def _is_picture(char: str) -> bool:
 def visual_forms(texts: Sequence[str], abc: Alphabet) -> list[str]:
     """What a reader sees: characters that can't be told apart become one; case, accents and digits stay."""
 
-    def work(text: str, mark: str) -> str:
-        text = text.replace("\r\n", "\n").replace("\r", "\n")
-        if text.isascii():
-            return text
+    def work(text: str) -> str:
         text = unicodedata.normalize("NFD", text)
-        if mark and "\u200d" in text:
+        mark = next((c for c in _NONCHARACTERS if c not in text), "") if "\u200d" in text else ""
+        if mark:
             kept = lambda m: mark if m.start() and m.end() < len(text) and _is_picture(text[m.start() - 1]) and _is_picture(text[m.end()]) else ""
             text = re.sub("\u200d", kept, text)
         text = unicodedata.normalize("NFC", _swap(text, abc.seen))
         return text.replace(mark, "\u200d") if mark else text
 
-    return _joined(texts, work)
+    known: dict[str, str] = {}
+    return [_by_runs(t.replace("\r\n", "\n").replace("\r", "\n"), work, known) for t in texts]
 
 
 def consistent_forms(texts: Sequence[str], abc: Alphabet) -> list[str]:
     """One form for comparison: compatibility-composed, fully case-folded, blanks mapped, ignorables removed."""
-    blanks = dict.fromkeys(abc.blank, " ")
-    gone = dict.fromkeys(abc.ignorable, "")
+    after = abc.letters | dict.fromkeys(abc.ignorable, "") | dict.fromkeys(abc.blank, " ")
 
     def fold(text: str) -> str:
         return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
 
-    def work(text: str, _: str) -> str:
-        text = text.replace("\r\n", "\n")
-        if not text.isascii():
-            # letters first, since some have a compatibility form of another look; and again for those that had one
-            text = _swap(unicodedata.normalize("NFD", text), abc.letters)
-            text = _swap(_swap(unicodedata.normalize("NFKD", text), abc.letters), gone)
-        for blank in blanks.keys() & set(text):
-            text = text.replace(blank, " ")
-        if text.isascii():
-            return text.lower()
+    def work(text: str) -> str:
+        # letters first, since some have a compatibility form of another look; and again for those that had one
+        text = _swap(unicodedata.normalize("NFD", text), abc.letters)
+        text = _swap(unicodedata.normalize("NFKD", text), after)
         # folding may bring up a letter of the table, such as a capital's small form
         return fold(_swap(unicodedata.normalize("NFD", fold(text)), abc.letters))
 
-    return _joined(texts, work)
+    known: dict[str, str] = {}
+    out = []
+    for text in texts:
+        text = _by_runs(text.replace("\r\n", "\n"), work, known)
+        if text.isascii():
+            out.append(text.translate(_ASCII_FORM))
+            continue
+        for blank in _ASCII_BLANKS:
+            text = text.replace(blank, " ")
+        out.append(text.casefold())
+    return out
 
 
 def _digests(texts: Sequence[str]) -> list[bytes]:
